@@ -20,6 +20,7 @@ from signalframe.operators.folds import MIN_TRAIN
 from signalframe.session import durable
 
 TARGET = "direction_7d"
+ROWS_PER_TASK = 250_000
 
 
 @dataclass
@@ -85,7 +86,15 @@ def train_global(features: DataFrame, target: str = TARGET, c: float = 1.0, nume
     numeric = numeric or numeric_features(features, exclude=[target])
     if not numeric:
         raise ValueError("no numeric feature columns")
-    scaler, n = _scaling(features, numeric)
+    kept = features.select("series_id", target, *numeric).persist()
+    try:
+        return _fit_global(kept, target, c, numeric)
+    finally:
+        kept.unpersist()
+
+
+def _fit_global(kept: DataFrame, target: str, c: float, numeric: list[str]) -> GlobalModel:
+    scaler, n = _scaling(kept, numeric)
     stages = [
         StringIndexer(
             inputCol="series_id", outputCol="_series", handleInvalid="keep", stringOrderType="alphabetAsc"
@@ -104,11 +113,9 @@ def train_global(features: DataFrame, target: str = TARGET, c: float = 1.0, nume
             tol=1e-10,
         ),
     ]
-    kept = features.select("series_id", target, *numeric).persist()
-    try:
-        fitted = Pipeline(stages=stages).fit(kept)
-    finally:
-        kept.unpersist()
+    # Every iteration runs one task per partition: no more of them than the rows are worth.
+    tasks = max(1, -(-n // ROWS_PER_TASK))
+    fitted = Pipeline(stages=stages).fit(kept.coalesce(tasks))
     return GlobalModel(fitted, numeric, list(fitted.stages[0].labels), n)
 
 
