@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from signalframe.functions import dates, names
 from signalframe.functions.numbers import finite, ratio
-from signalframe.operators.windows import by_series, full_only, in_chunks, trailing
+from signalframe.operators.windows import by_series, full_only, in_chunks, trailing, with_full_median
 from signalframe.schemas import GOLD_COLUMNS, H7_FEATURES, H7_TARGETS, HORIZON, KEYS
 
 # Rows a feature looks back and a target looks ahead; what chunked or partial runs must borrow.
@@ -117,17 +117,15 @@ def _h7(df: DataFrame, w: WindowSpec, eps: float, h: int) -> DataFrame:
         }
     )
     vol_21, vol_63 = F.col("vol_21d"), F.col("vol_63d")
-    year = trailing(w, 252)
     scaled = rolled.withColumns(
         {
             "zret_1d_21d": ratio(ret, vol_21 + eps),
             "zret_1d_63d": ratio(ret, vol_63 + eps),
             "vol_ratio_21_63": ratio(vol_21 + eps, vol_63 + eps),
-            "vol_21_med_252": full_only(lambda c: F.percentile(c, F.lit(0.5)), "vol_21d", year, 252),
         }
     )
     day = F.col("obs_date")
-    return scaled.withColumns(
+    return with_full_median(scaled, "vol_21d", "vol_21_med_252", w, 252).withColumns(
         {
             "is_high_vol": flag(vol_21 > F.col("vol_21_med_252")),
             "day_of_week": dates.weekday(day),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from signalframe.functions.numbers import ratio, sigmoid
 from signalframe.operators.features import flag
-from signalframe.operators.windows import by_series, full_only, trailing
+from signalframe.operators.windows import by_series, full_only, trailing, with_full_median
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -44,9 +44,8 @@ def h7_base(spark: SparkSession, folder: str) -> DataFrame:
         }
     )
     vol = lagged.withColumn("vol_21d", full_only(F.stddev_samp, "ret_1d", trailing(w, 21), 21))
-    med = full_only(lambda c: F.percentile(c, F.lit(0.5)), "vol_21d", trailing(w, 252), 252)
     return (
-        vol.withColumn("vol_21_med_252", med)
+        with_full_median(vol, "vol_21d", "vol_21_med_252", w, 252)
         .filter(F.col("fwd_return_7d").isNotNull() & F.col("vol_21_med_252").isNotNull())
         .withColumn("direction_7d", flag(F.col("fwd_return_7d") > 0))
         .withColumn("is_high_vol", flag(F.col("vol_21d") > F.col("vol_21_med_252")))
