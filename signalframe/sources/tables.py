@@ -181,9 +181,9 @@ def write_latest(documents: DataFrame, rows: DataFrame, path: str) -> None:
 def publish_run(spark: SparkSession, outputs: dict[str, DataFrame], root: str, run_date: str) -> str:
     """Write every output of a run and make it the latest one, all or nothing.
 
-    Outputs go to ``<root>/runs/run_date=D/<name>``. When all are complete and none is empty, a
-    one-row pointer ``<root>/latest`` is replaced; readers follow it. A failure before that leaves the
-    pointer, and so every reader, on the run before.
+    Outputs go to ``<root>/runs/run_date=D/<name>``. When all are complete and none is empty, one
+    pointer row is added below ``<root>/latest``; readers follow the newest. A failure before that
+    leaves every reader on the run before.
     """
     folder = f"{root}/runs/run_date={run_date}"
     for name, df in outputs.items():
@@ -192,17 +192,17 @@ def publish_run(spark: SparkSession, outputs: dict[str, DataFrame], root: str, r
         written = f"{folder}/{name}"
         if not is_complete(spark, written) or spark.read.parquet(written).isEmpty():
             raise ValueError(f"output {name!r} of run {run_date} is missing or empty")
-    pointer = spark.createDataFrame([(run_date, folder, sorted(outputs))], "run_date string, folder string, outputs array<string>")
-    pointer.coalesce(1).write.mode("append").json(f"{root}/latest")
+    pointer = spark.range(1).select(
+        F.lit(run_date).alias("run_date"), F.lit(folder).alias("folder"), F.current_timestamp().alias("published_at")
+    )
+    pointer.write.mode("append").json(f"{root}/latest")
     return folder
 
 
 def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame:
     """An output of the latest published run."""
-    pointers = spark.read.schema("run_date string, folder string, outputs array<string>").json(f"{root}/latest")
-    newest = pointers.withColumn("_at", F.col("_metadata.file_modification_time")).orderBy(
-        F.desc("_at"), F.desc("run_date")
-    ).first()
+    pointers = spark.read.schema("run_date string, folder string, published_at timestamp").json(f"{root}/latest")
+    newest = pointers.orderBy(F.desc("published_at"), F.desc("run_date")).first()
     if newest is None:
         raise ValueError(f"nothing published below {root}")
     return spark.read.parquet(f"{newest['folder']}/{name}")
