@@ -108,6 +108,24 @@ def final_state(changes: DataFrame, key: str, at: str, is_delete: Column, spread
     return alive.groupBy(key).agg(F.min(at).alias("created_at"), F.max(at).alias("updated_at"))
 
 
+def soft_state(changes: DataFrame, key: str, at: str, is_delete: Column) -> DataFrame:
+    """As ``final_state`` where a delete only deactivates: every key ever upserted, with its status.
+
+    One map-side-combined aggregate. Deletes of unknown keys do nothing.
+    """
+    return (
+        changes.groupBy(key)
+        .agg(
+            F.min(F.when(~is_delete, F.col(at))).alias("created_at"),
+            F.max(at).alias("updated_at"),
+            F.max_by(is_delete, F.col(at)).alias("_ended"),
+        )
+        .filter(F.col("created_at").isNotNull())
+        .withColumn("status", F.when(F.col("_ended"), "inactive").otherwise("active"))
+        .drop("_ended")
+    )
+
+
 def verify(subscriptions: DataFrame, requests: DataFrame, now: Column) -> DataFrame:
     """Apply verification requests by token: known, unexpired and unverified rows become verified."""
     tokens = requests.select(F.col("token").alias("verification_token")).distinct().withColumn("_asked", F.lit(True))

@@ -128,37 +128,38 @@ def serving_header(documents: DataFrame, items: DataFrame) -> DataFrame:
     return dates.select(F.lit("h7").alias("horizon"), stamp.scalar().alias("as_of"), "run_date", "n_items")
 
 
+def manifest_rows(gold: DataFrame, preds: DataFrame) -> DataFrame:
+    """Per series: rows and dates of its input, rows and dates of its predictions; nulls where it has none."""
+    scored = input_range(preds, ("series_id",)).select(
+        "series_id",
+        F.col("rows").alias("prediction_rows"),
+        F.col("min_obs_date").alias("first_prediction"),
+        F.col("max_obs_date").alias("last_prediction"),
+    )
+    return input_range(gold, ("series_id",)).join(scored, "series_id", "full_outer")
+
+
 def run_manifest(
     gold: DataFrame, preds: DataFrame, header: dict[str, str], files: DataFrame | None = None
 ) -> DataFrame:
     """One nested row describing a run: inputs per series, predictions, model files.
 
-    ``files`` comes from ``sources.tables.file_facts``. Both inputs are first reduced to one row
-    per series; the document's arrays hold those rows. An input series without predictions fails
-    the job when there are several inputs.
+    ``files`` comes from ``sources.tables.file_facts``. The document lists every series, so it is as
+    large as their number; ``manifest_rows`` is the same as a table. An input series without
+    predictions fails the job when there are several inputs.
     """
-    scored = input_range(preds, ("series_id",)).select(
-        "series_id",
-        F.col("rows").alias("_rows"),
-        F.col("min_obs_date").alias("_lo"),
-        F.col("max_obs_date").alias("_hi"),
-    )
     entry = F.when(F.col("rows").isNotNull(), F.struct("series_id", "rows", "min_obs_date", "max_obs_date"))
-    count = F.when(F.col("_rows").isNotNull(), F.struct("series_id", F.col("_rows").alias("rows")))
-    lacks = F.when(F.col("_rows").isNull(), F.col("series_id"))
-    whole = (
-        input_range(gold, ("series_id",))
-        .join(scored, "series_id", "full_outer")
-        .agg(
-            F.array_sort(F.collect_list(entry)).alias("gold_inputs"),
-            F.array_sort(F.collect_list(lacks)).alias("_missing"),
-            F.struct(
-                F.coalesce(F.sum("_rows"), F.lit(0)).alias("rows"),
-                F.min("_lo").alias("min_obs_date"),
-                F.max("_hi").alias("max_obs_date"),
-                F.map_from_entries(F.array_sort(F.collect_list(count))).alias("by_series_rows"),
-            ).alias("predictions"),
-        )
+    count = F.when(F.col("prediction_rows").isNotNull(), F.struct("series_id", F.col("prediction_rows").alias("rows")))
+    lacks = F.when(F.col("prediction_rows").isNull(), F.col("series_id"))
+    whole = manifest_rows(gold, preds).agg(
+        F.array_sort(F.collect_list(entry)).alias("gold_inputs"),
+        F.array_sort(F.collect_list(lacks)).alias("_missing"),
+        F.struct(
+            F.coalesce(F.sum("prediction_rows"), F.lit(0)).alias("rows"),
+            F.min("first_prediction").alias("min_obs_date"),
+            F.max("last_prediction").alias("max_obs_date"),
+            F.map_from_entries(F.array_sort(F.collect_list(count))).alias("by_series_rows"),
+        ).alias("predictions"),
     )
     failed = F.raise_error(F.concat(F.lit("series missing in predictions: "), F.array_join("_missing", ", ")))
     inputs = (

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from signalframe.functions.numbers import LOG_FLOOR, log_loss
 from signalframe.functions.signals import check_threshold
-from signalframe.operators.metrics import acted_cells, acted_scores, with_collapse
+from signalframe.operators.metrics import acted_cells, acted_scores, unpivot_models, with_collapse
 from signalframe.operators.windows import by_series, exact_rank, trailing
 from signalframe.session import durable
 
@@ -104,19 +104,20 @@ def topk_sizes(n: Column, coverage: float, split: float | None = 0.5) -> tuple[C
     return up, total - up
 
 
-def _ranked_sides(preds: DataFrame, p: str) -> DataFrame:
+def _ranked_sides(preds: DataFrame, p: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Rank within the up side and the down side by distance from 0.5."""
     sided = preds.withColumn("side", F.when(F.col(p) >= 0.5, 1).otherwise(-1)).withColumn(
         "_conf", F.abs(F.col(p) - 0.5)
     )
     order = [F.desc("_conf"), F.asc("obs_date"), F.asc("series_id")]
-    return exact_rank(sided, order, keys=("side",)).drop("_conf")
+    return exact_rank(sided, order, keys=(*by, "side")).drop("_conf")
 
 
 def balanced_topk(preds: DataFrame, p: str, coverage: float, split: float | None = None) -> DataFrame:
     """The most confident rows of each side, about ``coverage`` of all rows, with their action."""
-    ranked = _ranked_sides(durable(preds), p)
-    up, down = topk_sizes(ranked.agg(F.count(F.lit(1)).alias("n")).scalar(), coverage, split)
+    preds = durable(preds)
+    ranked = _ranked_sides(preds, p)
+    up, down = topk_sizes(preds.agg(F.count(F.lit(1)).alias("n")).scalar(), coverage, split)
     limit = F.when(F.col("side") == 1, up).otherwise(down)
     return ranked.filter(F.col("rank") <= limit).withColumnRenamed("side", "act")
 
@@ -139,23 +140,19 @@ def balanced_topk_per_series(preds: DataFrame, p: str, coverage: float, split: f
 def topk_sweep(
     preds: DataFrame, models: dict[str, str], coverages: Sequence[float] = COVERAGES, floor: float = LOG_FLOOR
 ) -> DataFrame:
-    """Balanced top-k at every target coverage, one ranking per model."""
+    """Balanced top-k at every target coverage; one sort ranks all models."""
     cs = sorted(coverages)
-    parts = []
-    for model, column in models.items():
-        ranked = _ranked_sides(preds.select("series_id", "obs_date", "y_true", F.col(column).alias("p")), "p")
-        n = ranked.agg(F.count(F.lit(1)).alias("n")).scalar()
-        sizes = [topk_sizes(n, c) for c in cs]
-        # Level: the first coverage whose size reaches the row's rank.
-        level = F.lit(len(cs))
-        for i in reversed(range(len(cs))):
-            limit = F.when(F.col("side") == 1, sizes[i][0]).otherwise(sizes[i][1])
-            level = F.when(F.col("rank") <= limit, i).otherwise(level)
-        parts.append(ranked.select("y_true", "p", "side", level.alias("level"), F.lit(model).alias("model")))
-    rows = parts[0]
-    for part in parts[1:]:
-        rows = rows.unionByName(part)
-    rows = rows.withColumn("policy", F.lit("balanced_topk_confidence"))
+    n = preds.agg(F.count(F.lit(1)).alias("n")).scalar()
+    ranked = _ranked_sides(unpivot_models(preds, models, ["series_id", "obs_date", "y_true"]), "p", ("model",))
+    # Level: the first coverage whose size reaches the row's rank.
+    level = F.lit(len(cs))
+    for i, c in reversed(list(enumerate(cs))):
+        up, down = topk_sizes(n, c)
+        limit = F.when(F.col("side") == 1, up).otherwise(down)
+        level = F.when(F.col("rank") <= limit, i).otherwise(level)
+    rows = ranked.select(
+        "y_true", "p", "side", level.alias("level"), "model", F.lit("balanced_topk_confidence").alias("policy")
+    )
     cells = acted_cells(rows, ["policy", "model", "level"], act="side", floor=floor).withColumnRenamed("act", "side")
     spread = _spread(cells, cs, "coverage_target", (), floor_up=False)
     return acted_scores(spread, ["policy", "model", "coverage_target"])
@@ -164,8 +161,8 @@ def topk_sweep(
 def policy_sweep(preds: DataFrame, logreg: str = "p_up_logreg", tree: str = "p_up_tree") -> DataFrame:
     """All three policies over their grids, with collapse flags.
 
-    The predictions are read four times (bands, two rankings with their sampling), so they are
-    checkpointed first.
+    The predictions are read several times (bands, size, the ranking and its sampling), so they
+    are checkpointed first.
     """
     preds = durable(preds.select("series_id", "obs_date", "y_true", logreg, tree))
     models = {logreg: logreg, tree: tree}

@@ -301,6 +301,13 @@ def metrics_overall(spark, folder):
     return rounded(metrics.overall(_long(spark, folder), by=("model",)))
 
 
+@query
+def metrics_clipped(spark, folder):
+    """The calibration report's variant: probabilities kept 1e-6 away from 0 and 1."""
+    found = metrics.overall(_long(spark, folder), by=("model",), floor=1e-6)
+    return rounded(found.select("model", "n", "log_loss", "brier"))
+
+
 @query
 def metrics_by_threshold(spark, folder):
     return rounded(metrics.by_threshold(_long(spark, folder), (0.5, 0.55, 0.6, 0.65, 0.7)))
@@ -411,6 +418,14 @@ def silver_since(spark, folder):
     return rounded(incremental.latest_versions(rows, tiebreak="event_id"))
 
 
+@query
+def ingest_watermark(spark, folder):
+    """Versions newer than what each series had by the 20th; signups were not ingested at all."""
+    rows = fixtures.silver_events(spark, folder)
+    known = rows.filter((F.col("obs_date") <= F.lit("2024-01-20").cast("date")) & (F.col("series_id") != "signup"))
+    return rounded(incremental.after_watermark(rows, incremental.watermarks(known)))
+
+
 @query
 def silver_upsert(spark, folder):
     """Three overlapping batches, the newest first, then one of them again."""
@@ -481,6 +496,23 @@ def landing_audit(spark, folder):
     )
 
 
+@query
+def payload_audit(spark, folder):
+    payloads = landing.build_payloads(_landed(spark, folder))
+    audited = landing.audit_payloads(
+        payloads.select(
+            F.col("value").alias("payload"), F.col("series").alias("series_id"), F.col("ingest_date").alias("raw_path")
+        )
+    )
+    return audited.select(
+        "series_id",
+        F.col("raw_path").alias("ingest_date"),
+        "observations_count",
+        F.array_join("response_keys", ",").alias("keys"),
+        (F.length("sha256_raw") == 64).alias("hashed"),
+    )
+
+
 @query
 def input_ranges(spark, folder):
     return quality.input_range(fixtures.observations(spark, folder), ("series_id",))
@@ -521,19 +553,7 @@ def publish_run(spark, folder):
 
 @query
 def run_manifest(spark, folder):
-    doc = serving.run_manifest(
-        fixtures.observations(spark, folder),
-        fixtures.predictions(spark, folder),
-        {"run_date": "2024-01-15", "timezone": dates.LOCAL_ZONE, "git_sha": "unknown"},
-    )
-    entry = F.explode("gold_inputs").alias("e")
-    return doc.select(entry, "predictions").select(
-        "e.*",
-        F.element_at("predictions.by_series_rows", F.col("e.series_id")).alias("prediction_rows"),
-        F.col("predictions.rows").alias("total_rows"),
-        F.col("predictions.min_obs_date").alias("first_date"),
-        F.col("predictions.max_obs_date").alias("last_date"),
-    )
+    return serving.manifest_rows(fixtures.observations(spark, folder), fixtures.predictions(spark, folder))
 
 
 # --- serving and subscribers ------------------------------------------------------------------
@@ -544,6 +564,20 @@ def latest_artifacts(spark, folder):
     return rounded(_latest_rows(spark, folder).drop("series_id"))
 
 
+@query
+def latest_documents(spark, folder):
+    rows = _latest_rows(spark, folder)
+    documents = serving.latest_documents(rows, "unknown", "h7", "2024-01-15T00:00:00Z")
+    return documents.select(
+        "pair",
+        "horizon",
+        F.size("rows").alias("n_rows"),
+        F.get("rows", F.lit(0))["obs_date"].alias("first_date"),
+        F.element_at("rows", -1)["obs_date"].alias("last_date"),
+        F.element_at("rows", -1)["decision"].alias("last_decision"),
+    )
+
+
 @query
 def signal_history(spark, folder):
     history = serving.signal_history(_latest_rows(spark, folder))
@@ -644,6 +678,12 @@ def subscription_state(spark, folder):
     return incremental.final_state(log, "user_id", "ts", F.col("event_type") == "error", "event_id")
 
 
+@query
+def subscription_status(spark, folder):
+    log = fixtures.table(spark, folder, "events").select("user_id", "ts", "event_type")
+    return incremental.soft_state(log, "user_id", "ts", F.col("event_type") == "error")
+
+
 @query
 def quota_windows(spark, folder):
     events = fixtures.table(spark, folder, "events").select("event_id", "user_id", "ts")
@@ -699,6 +739,18 @@ def walkforward_coefficients(spark, folder):
     return folds.coefficient_extremes(history)
 
 
+@query
+def walkforward_stability(spark, folder):
+    return folds.coefficient_stability(folds.coefficient_history(_features(spark, folder), H7_FEATURES))
+
+
+@query
+def score_per_series(spark, folder):
+    rows = durable(_features(spark, folder))
+    weights = folds.fit_per_series(rows, H7_FEATURES, scale=True)
+    return folds.score_per_series(rows, weights, H7_FEATURES).select("series_id", "obs_date", "p_up")
+
+
 @query
 def walkforward_gbt(spark, folder):
     return folds.walk_forward(_features(spark, folder), H7_FEATURES, kind="trees")

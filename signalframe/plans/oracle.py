@@ -572,8 +572,27 @@ from events""",
 select obs_date, series_id, p_up_logreg + 0e0 as p_up_logreg, {label('p_up_logreg', 0.6, 1e-10)} as action_logreg from predictions"""),
     "run_manifest": with_(*OBS_PRED, select="""
 select o.series_id, o.rows, o.lo as min_obs_date, o.hi as max_obs_date, p.rows as prediction_rows,
-       (select count(*) from predictions) as total_rows,
-       (select min(obs_date) from predictions) as first_date, (select max(obs_date) from predictions) as last_date
+       p.lo as first_prediction, p.hi as last_prediction
 from (select series_id, count(*) as rows, min(obs_date) as lo, max(obs_date) as hi from observations group by 1) o
-join (select series_id, count(*) as rows from predictions group by 1) p using (series_id)"""),
+full join (select series_id, count(*) as rows, min(obs_date) as lo, max(obs_date) as hi from predictions group by 1) p
+  using (series_id)"""),
+    "subscription_status": """
+select user_id, min(ts) filter (event_type <> 'error') as created_at, max(ts) as updated_at,
+       case when max_by(event_type, ts) = 'error' then 'inactive' else 'active' end as status
+from events group by 1 having count(*) filter (event_type <> 'error') > 0""",
+    "ingest_watermark": with_(SILVER_EVENTS, """marks as (
+  select series_id, max(ingested_at) as mark from silver_events
+  where obs_date <= date '2024-01-20' and series_id <> 'signup' group by 1)""", select="""
+select s.* from silver_events s left join marks using (series_id) where mark is null or ingested_at > mark"""),
+    "payload_audit": with_(OBSERVATIONS, select="""
+select series_id, concat(cast(year(obs_date) as varchar), '-12-31') as ingest_date, cast(count(*) as integer) as observations_count,
+       'observations' as keys, true as hashed
+from observations group by series_id, year(obs_date)"""),
+    "latest_documents": with_(*OBS_PRED, LAST_ROWS, select=f"""
+select {PAIR} as pair, 'h7' as horizon, cast(count(*) as integer) as n_rows, min(obs_date) as first_date, max(obs_date) as last_date,
+       max_by({label('p_up_logreg', 0.6, 1e-10)}, obs_date) as last_decision
+from recent where recency <= 365 group by series_id"""),
+    "metrics_clipped": with_(*OBS_PRED, MODELS, select=f"""
+select model, count(*) as n, {r("avg(case when y_true = 1 then -ln(q) else -ln(1 - q) end)", 'log_loss')}, {r(f'avg({SE})', 'brier')}
+from (select *, least(greatest(p, 1e-6), 1 - 1e-6) as q from m) group by model"""),
 }

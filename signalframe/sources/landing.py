@@ -29,7 +29,7 @@ def path_part(path: Column, key: str) -> Column:
 
 def ingest_time(text: Column) -> Column:
     """Ingest time of compact text such as ``20250115T120000Z`` (any suffix after it is ignored) or ISO text."""
-    compact = F.try_to_timestamp(F.regexp_extract(text, r"^(\d{8}T\d{6})Z", 1), F.lit("yyyyMMdd'T'HHmmss"))
+    compact = F.try_to_timestamp(F.regexp_extract(text, r"^(\d{8}T\d{6}Z)", 1), F.lit("yyyyMMdd'T'HHmmssX"))
     return F.coalesce(compact, text.try_cast("timestamp"))
 
 
