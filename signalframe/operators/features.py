@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from signalframe.functions import dates, names
 from signalframe.functions.numbers import finite, ratio
@@ -158,16 +159,30 @@ def h7_features(
     return feats.select(*KEYS, *H7_FEATURES, *H7_TARGETS).dropna(subset=needed)
 
 
+# Text columns that stay text whatever they hold.
+IDENTIFIERS = ("series_id", "base_currency", "quote_currency", "source", "run_id", "processed_at")
+
+
+def coerce_text(df: DataFrame, skip: tuple[str, ...] = IDENTIFIERS) -> DataFrame:
+    """Text columns whose every value is a number become doubles; one aggregate decides which."""
+    texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name not in skip]
+    if not texts:
+        return df
+    odd = [F.count_if(F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()).alias(c) for c in texts]
+    counts = df.agg(*odd).first()
+    return df.withColumns({c: F.col(c).cast("double") for c in texts if counts[c] == 0})
+
+
 def direction_target(df: DataFrame, h: int = HORIZON) -> DataFrame:
     """Forward return and direction over ``h`` rows; the last ``h`` rows of a series are dropped."""
-    forward = ratio(F.lead("value", h).over(by_series()), F.col("value")) - 1
-    labelled = df.withColumn(f"target_return_{h}d", forward)
-    from_end = Window.partitionBy("series_id").orderBy(F.col("obs_date").desc())
+    w = by_series()
+    forward = ratio(F.lead("value", h).over(w), F.col("value")) - 1
     return (
-        labelled.withColumn(f"target_direction_{h}d", flag(F.col(f"target_return_{h}d") > 0))
-        .withColumn("_back", F.row_number().over(from_end))
-        .filter(F.col("_back") > h)
-        .drop("_back")
+        df.withColumn(f"target_return_{h}d", forward)
+        .withColumn("_followed", F.lead(F.lit(True), h).over(w))
+        .filter("_followed")
+        .drop("_followed")
+        .withColumn(f"target_direction_{h}d", flag(F.col(f"target_return_{h}d") > 0))
     )
 
 

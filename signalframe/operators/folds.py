@@ -157,8 +157,14 @@ def coefficient_history(
 
 def coefficient_extremes(history: DataFrame, top: int = 10) -> DataFrame:
     """Largest and smallest weights of each series' last refit."""
-    last = history.groupBy("series_id").agg(F.max("test_month").alias("test_month"))
-    final = history.filter(F.col("term") != "intercept").join(last, ["series_id", "test_month"])
+    # A window rather than a join with the last month: the fits behind ``history`` run once.
+    last = F.max("test_month").over(Window.partitionBy("series_id"))
+    final = (
+        history.filter(F.col("term") != "intercept")
+        .withColumn("_last", last)
+        .filter(F.col("test_month") == F.col("_last"))
+        .drop("_last")
+    )
     high = Window.partitionBy("series_id").orderBy(F.desc("coef"), "term")
     low = Window.partitionBy("series_id").orderBy("coef", "term")
     return (

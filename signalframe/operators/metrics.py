@@ -92,10 +92,20 @@ def _bins(df: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
     )
 
 
-def calibration_error(df: DataFrame, bins: int = 10, by: Sequence[str] = ("model",)) -> DataFrame:
-    """Expected calibration error: size-weighted gap between mean probability and share of ups."""
+def calibration_error(df: DataFrame, bins: Sequence[int] = (10,), by: Sequence[str] = ("model",)) -> DataFrame:
+    """Expected calibration error: size-weighted gap between mean probability and share of ups.
+
+    Several bin counts share one pass: rows are added up per combination of their bins.
+    """
+    p = F.col("p")
+    combined = df.groupBy(*by, *[probability_bin(p, k).alias(f"_bin{k}") for k in bins]).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("p").alias("sum_p"), F.sum(F.col("y_true").cast("double")).alias("sum_y")
+    )
+    choices = F.array(*[F.struct(F.lit(k).alias("bins"), F.col(f"_bin{k}").alias("bin")) for k in bins])
+    sums = [F.sum(c).alias(c) for c in ("n", "sum_p", "sum_y")]
+    per_bin = combined.select(*by, "n", "sum_p", "sum_y", F.inline(choices)).groupBy(*by, "bins", "bin").agg(*sums)
     gap = F.abs(F.col("sum_y") - F.col("sum_p"))
-    return _bins(df, bins, by).groupBy(*by).agg((F.sum(gap) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
+    return per_bin.groupBy(*by, "bins").agg((F.sum(gap) / F.sum("n")).alias("ece"), F.sum("n").alias("n"))
 
 
 def reliability(df: DataFrame, bins: int = 10, by: Sequence[str] = ("model",)) -> DataFrame:

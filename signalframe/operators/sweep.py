@@ -117,9 +117,14 @@ def balanced_topk(preds: DataFrame, p: str, coverage: float, split: float | None
     """The most confident rows of each side, about ``coverage`` of all rows, with their action."""
     preds = durable(preds)
     ranked = _ranked_sides(preds, p)
-    up, down = topk_sizes(preds.agg(F.count(F.lit(1)).alias("n")).scalar(), coverage, split)
+    up, down = topk_sizes(F.col("_n"), coverage, split)
     limit = F.when(F.col("side") == 1, up).otherwise(down)
-    return ranked.filter(F.col("rank") <= limit).withColumnRenamed("side", "act")
+    return (
+        ranked.withColumn("_n", preds.agg(F.count(F.lit(1)).alias("n")).scalar())
+        .filter(F.col("rank") <= limit)
+        .drop("_n")
+        .withColumnRenamed("side", "act")
+    )
 
 
 def balanced_topk_per_series(preds: DataFrame, p: str, coverage: float, split: float | None = None) -> DataFrame:
@@ -142,12 +147,12 @@ def topk_sweep(
 ) -> DataFrame:
     """Balanced top-k at every target coverage; one sort ranks all models."""
     cs = sorted(coverages)
-    n = preds.agg(F.count(F.lit(1)).alias("n")).scalar()
     ranked = _ranked_sides(unpivot_models(preds, models, ["series_id", "obs_date", "y_true"]), "p", ("model",))
+    ranked = ranked.withColumn("_n", preds.agg(F.count(F.lit(1)).alias("n")).scalar())
     # Level: the first coverage whose size reaches the row's rank.
     level = F.lit(len(cs))
     for i, c in reversed(list(enumerate(cs))):
-        up, down = topk_sizes(n, c)
+        up, down = topk_sizes(F.col("_n"), c)
         limit = F.when(F.col("side") == 1, up).otherwise(down)
         level = F.when(F.col("rank") <= limit, i).otherwise(level)
     rows = ranked.select(

@@ -158,6 +158,22 @@ def test_load_series(spark):
     assert [(r["obs_date"], r["value"]) for r in found] == [(dt.date(2024, 1, 2), 1.5)]
 
 
+def test_coerce_text(spark):
+    df = spark.createDataFrame([("1", "1.5", "x", 1), (None, "2", "3", 2)], "run_id string, a string, b string, n int")
+    found = features.coerce_text(df)
+    assert dict(found.dtypes) == {"run_id": "string", "a": "double", "b": "string", "n": "int"}
+
+
+def test_direction_target(spark, walk):
+    found = features.direction_target(spark.createDataFrame(walk))
+    for s, g in walk.groupby("series_id"):
+        v = g["value"].reset_index(drop=True)
+        want = (v.shift(-7) / v - 1).iloc[:-7]
+        got = found.filter(F.col("series_id") == s).orderBy("obs_date").toPandas()
+        np.testing.assert_allclose(got["target_return_7d"], want)
+        assert got["target_direction_7d"].tolist() == (want > 0).astype(int).tolist()
+
+
 def test_contracts(spark, walk):
     df = spark.createDataFrame(walk)
     with pytest.raises(contracts.ContractError, match="missing"):
