@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -47,10 +49,14 @@ def equal_edges(bins: int) -> list[float]:
     return [float(e) for e in np.linspace(0.0, 1.0, bins + 1)]
 
 
-def probability_bin(p: Column, bins: int) -> Column:
-    """Equal-width bin of ``p``, left-closed; 1.0 belongs to the last bin."""
-    inner = equal_edges(bins)[1:-1]
-    return sum((F.when(p >= e, 1).otherwise(0) for e in inner), F.lit(0))
+def count_reached(name: str, cuts: Iterable[float], test: str = ">=") -> Column:
+    """How many cuts the column passes; a null passes none. One expression text, as ladders are long."""
+    return F.expr(" + ".join(f"if({name} {test} {float(c)!r}D, 1, 0)" for c in cuts))
+
+
+def probability_bin(name: str, bins: int) -> Column:
+    """Equal-width bin of a probability column, left-closed; 1.0 belongs to the last bin."""
+    return count_reached(name, equal_edges(bins)[1:-1])
 
 
 def bucket_label(p: Column, edges: tuple[float, ...] = (0.0, 0.4, 0.45, 0.55, 0.6, 1.0)) -> Column:

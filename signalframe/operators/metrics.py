@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from signalframe.functions.numbers import (
     LOG_FLOOR,
     bucket_label,
+    count_reached,
     equal_edges,
     log_loss,
     probability_bin,
@@ -51,9 +52,8 @@ def by_threshold(df: DataFrame, thresholds: Sequence[float], by: Sequence[str] =
     """
     ts = sorted(thresholds)
     y, p = F.col("y_true"), F.col("p")
-    conf = plain_confidence(p)
-    level = sum((F.when(conf >= t, 1).otherwise(0) for t in ts), F.lit(0))
-    cells = df.groupBy(*by, level.alias("level")).agg(
+    level = count_reached("_conf", ts)
+    cells = df.withColumn("_conf", plain_confidence(p)).groupBy(*by, level.alias("level")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(((p >= 0.5).cast("int") == y).cast("long")).alias("hits"),
         F.sum(log_loss(y, p)).alias("ll"),
@@ -87,7 +87,7 @@ def by_bucket(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
 
 
 def _bins(df: DataFrame, bins: int, by: Sequence[str]) -> DataFrame:
-    return df.groupBy(*by, probability_bin(F.col("p"), bins).alias("bin")).agg(
+    return df.groupBy(*by, probability_bin("p", bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("sum_p"), F.sum(F.col("y_true").cast("double")).alias("sum_y")
     )
 
@@ -97,8 +97,7 @@ def calibration_error(df: DataFrame, bins: Sequence[int] = (10,), by: Sequence[s
 
     Several bin counts share one pass: rows are added up per combination of their bins.
     """
-    p = F.col("p")
-    combined = df.groupBy(*by, *[probability_bin(p, k).alias(f"_bin{k}") for k in bins]).agg(
+    combined = df.groupBy(*by, *[probability_bin("p", k).alias(f"_bin{k}") for k in bins]).agg(
         F.count(F.lit(1)).alias("n"), F.sum("p").alias("sum_p"), F.sum(F.col("y_true").cast("double")).alias("sum_y")
     )
     choices = F.array(*[F.struct(F.lit(k).alias("bins"), F.col(f"_bin{k}").alias("bin")) for k in bins])
@@ -151,7 +150,7 @@ def acted_cells(df: DataFrame, by: Sequence[str], act: str = "act", bins: int =
     """Sums of the scoring terms per (group, side, probability bin)."""
     y, p, a = F.col("y_true"), F.col("p"), F.col(act)
     yhat = (a == 1).cast("int")
-    return df.groupBy(*by, F.col(act).alias("act"), probability_bin(p, bins).alias("bin")).agg(
+    return df.groupBy(*by, F.col(act).alias("act"), probability_bin("p", bins).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"),
         F.sum((yhat == y).cast("long")).alias("hits"),
         F.sum(log_loss(y, p, floor)).alias("ll"),

@@ -76,7 +76,9 @@ def _scaling(features: DataFrame, numeric: list[str]) -> tuple[SQLTransformer, i
     return SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"), stats["n"]
 
 
-def train_global(features: DataFrame, target: str = TARGET, c: float = 1.0, numeric: list[str] | None = None) -> GlobalModel:
+def train_global(
+    features: DataFrame, target: str = TARGET, c: float = 1.0, numeric: list[str] | None = None, tol: float = 1e-8
+) -> GlobalModel:
     """L2 logistic regression over all series: series indicators and standardised numbers.
 
     Matches a penalty ``|w|^2 / 2 + c * sum(loss)`` with a free intercept. An unknown series at
@@ -88,12 +90,12 @@ def train_global(features: DataFrame, target: str = TARGET, c: float = 1.0, nume
         raise ValueError("no numeric feature columns")
     kept = features.select("series_id", target, *numeric).persist()
     try:
-        return _fit_global(kept, target, c, numeric)
+        return _fit_global(kept, target, c, numeric, tol)
     finally:
         kept.unpersist()
 
 
-def _fit_global(kept: DataFrame, target: str, c: float, numeric: list[str]) -> GlobalModel:
+def _fit_global(kept: DataFrame, target: str, c: float, numeric: list[str], tol: float) -> GlobalModel:
     scaler, n = _scaling(kept, numeric)
     stages = [
         StringIndexer(
@@ -110,7 +112,7 @@ def _fit_global(kept: DataFrame, target: str, c: float, numeric: list[str]) -> G
             elasticNetParam=0.0,
             standardization=False,
             maxIter=2000,
-            tol=1e-10,
+            tol=tol,
         ),
     ]
     # Every iteration runs one task per partition: no more of them than the rows are worth.

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from signalframe.functions.numbers import LOG_FLOOR, log_loss
+from signalframe.functions.numbers import LOG_FLOOR, count_reached, log_loss
 from signalframe.functions.signals import check_threshold
 from signalframe.operators.metrics import acted_cells, acted_scores, unpivot_models, with_collapse
 from signalframe.operators.windows import by_series, exact_rank, trailing
@@ -30,31 +30,14 @@ SCORES = [
 ]
 
 
-def _level(p: Column, ts: Sequence[float], up: bool) -> Column:
-    reach = (lambda t: p >= t) if up else (lambda t: p <= 1.0 - t)
-    return sum((F.when(reach(t), 1).otherwise(0) for t in ts), F.lit(0))
-
-
-def _banded(p: Column, score_p: Column, ts: Sequence[float], policy: str, model: str) -> Column:
-    up, down = _level(p, ts, True), _level(p, ts, False)
+def _banded(policy: str, model: str, p: str, up: Column, down: Column) -> Column:
+    """A row under one policy: the side it is on, how many thresholds it acts at, its probability."""
     return F.struct(
         F.lit(policy).alias("policy"),
         F.lit(model).alias("model"),
         F.when(up > 0, 1).otherwise(-1).alias("side"),
         F.greatest(up, down).alias("level"),
-        score_p.alias("p"),
-    )
-
-
-def _agreement(p_a: Column, p_b: Column, ts: Sequence[float], model: str) -> Column:
-    up = F.least(_level(p_a, ts, True), _level(p_b, ts, True))
-    down = F.least(_level(p_a, ts, False), _level(p_b, ts, False))
-    return F.struct(
-        F.lit("agreement_threshold").alias("policy"),
-        F.lit(model).alias("model"),
-        F.when(up > 0, 1).otherwise(-1).alias("side"),
-        F.greatest(up, down).alias("level"),
-        p_a.alias("p"),
+        F.col(p).alias("p"),
     )
 
 
@@ -83,11 +66,17 @@ def threshold_sweep(
     ts = sorted(thresholds)
     for t in ts:
         check_threshold(t)
-    parts = [_banded(F.col(c), F.col(c), ts, "single_model_threshold", m) for m, c in models.items()]
+    columns = dict.fromkeys([*models.values(), *(agreement or ())])
+    levels = {f"_up_{c}": count_reached(c, ts) for c in columns}
+    levels |= {f"_down_{c}": count_reached(c, [1.0 - t for t in ts], "<=") for c in columns}
+    parts = [
+        _banded("single_model_threshold", m, c, F.col(f"_up_{c}"), F.col(f"_down_{c}")) for m, c in models.items()
+    ]
     if agreement:
         a, b = agreement
-        parts.append(_agreement(F.col(a), F.col(b), ts, "logreg_vs_tree"))
-    rows = preds.select(*by, "y_true", F.inline(F.array(*parts)))
+        up, down = (F.least(f"_{side}_{a}", f"_{side}_{b}") for side in ("up", "down"))
+        parts.append(_banded("agreement_threshold", "logreg_vs_tree", a, up, down))
+    rows = preds.withColumns(levels).select(*by, "y_true", F.inline(F.array(*parts)))
     keys = [*by, "policy", "model", "level"]
     cells = acted_cells(rows, keys, act="side", floor=floor).withColumnRenamed("act", "side")
     out = [*by, "policy", "model", "t"]

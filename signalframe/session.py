@@ -24,6 +24,8 @@ def build_session(app: str = "signalframe", master: str | None = None, **setting
         "spark.sql.sources.partitionOverwriteMode": "dynamic",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+        # Call-site capture on every column expression: costly for plans built from many columns.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
     }
     options.update({k.replace("__", "."): str(v) for k, v in settings.items()})

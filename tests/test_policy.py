@@ -73,7 +73,7 @@ def test_pair_names(spark):
 
 
 def test_bins_follow_the_grid_doubles(spark):
-    got = column(spark, [0.0, 0.1, 0.3, 0.30000000000000004, 0.999, 1.0], lambda p: numbers.probability_bin(p, 10), "double")
+    got = column(spark, [0.0, 0.1, 0.3, 0.30000000000000004, 0.999, 1.0], lambda _: numbers.probability_bin("p", 10))
     assert got == [0, 1, 2, 3, 9, 9]
 
 
