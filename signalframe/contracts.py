@@ -27,6 +27,13 @@ def require_columns(df: DataFrame, columns: Iterable[str], exact: bool = False)
     return df
 
 
+def require_instant(df: DataFrame, name: str) -> DataFrame:
+    """The column must be a point in time: a wall-clock time without zone has no local date."""
+    if not isinstance(df.schema[name].dataType, T.TimestampType):
+        raise ContractError(f"{name} must be a timestamp with a zone, not {df.schema[name].dataType.simpleString()}")
+    return df
+
+
 def as_predictions(df: DataFrame) -> DataFrame:
     """The four contract columns, in order; other columns are an error, a null id fails the job."""
     require_columns(df, PREDICTION_COLUMNS, exact=True)

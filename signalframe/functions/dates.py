@@ -64,6 +64,16 @@ def valid_date_text(text: Column) -> Column:
     return text.rlike(r"^\d{4}-\d{2}-\d{2}$") & F.try_to_date(text, "yyyy-MM-dd").isNotNull()
 
 
+def utc_instant(wall: Column) -> Column:
+    """The ``timestamp`` of a UTC wall-clock time (``timestamp_ntz``), whatever the session's zone."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), wall).cast("timestamp")
+
+
+def utc_wall(instant: Column) -> Column:
+    """UTC wall-clock time (``timestamp_ntz``) of a ``timestamp``."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
+
+
 def local_date(utc: Column, zone: str = LOCAL_ZONE) -> Column:
     """Calendar date in ``zone`` of a UTC wall-clock time (``timestamp_ntz``)."""
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(zone), utc))
@@ -79,5 +89,16 @@ def local_iso(utc: Column, zone: str = LOCAL_ZONE) -> Column:
     return F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), sign, hours, F.lit(":"), rest)
 
 
+def as_of_utc(text: Column) -> Column:
+    """Served form of a run's time text: UTC with offset, a time without offset read as UTC.
+
+    Text that is no time is passed on as it is.
+    """
+    with_offset = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    wall = F.when(with_offset, utc_wall(text.try_cast("timestamp"))).otherwise(text.try_cast("timestamp_ntz"))
+    shown = F.concat(F.date_format(wall, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+    return F.coalesce(shown, text)
+
+
 def readable_date(day: Column) -> Column:
     return F.date_format(day, "MMMM dd, yyyy")

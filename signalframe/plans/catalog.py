@@ -461,7 +461,7 @@ def bronze_scan(spark, folder):
             "value",
             "base_currency",
             "quote_currency",
-            F.date_format("ingested_at", "yyyy-MM-dd HH:mm:ss").alias("ingested_at"),
+            F.date_format(dates.utc_wall(F.col("ingested_at")), "yyyy-MM-dd HH:mm:ss").alias("ingested_at"),
         )
     )
 
@@ -703,7 +703,7 @@ def stream_quota(spark, folder):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
     start_quota(stream, "user_id", "ts", 86400, 3, f"{root}/out", f"{root}/state", late="60 days").awaitTermination()
     counts = quota.newest_count(spark.read.parquet(f"{root}/out"), ["window_start", "user_id"])
-    return counts.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+    return counts.withColumn("window_start", dates.utc_wall(F.col("window_start")))
 
 
 # --- models -----------------------------------------------------------------------------------

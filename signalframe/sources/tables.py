@@ -22,6 +22,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target))
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Did the job that wrote a folder finish."""
     return path_exists(spark, os.path.join(path, "_SUCCESS"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from signalframe.functions import dates
 from signalframe.operators.quota import window_counts
 
 
@@ -17,7 +19,11 @@ def start_quota(
     The watermark drops the state of windows older than ``late``; ``newest_count`` gives the final
     table. Per-request places need a total order and are a batch matter (``request_quota``).
     """
-    timed = requests.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    instant = F.col(ts)
+    if isinstance(requests.schema[ts].dataType, T.TimestampNTZType):
+        # Watermarks need instants; times without a zone are taken as UTC.
+        instant = dates.utc_instant(instant)
+    timed = requests.withColumn(ts, instant).withWatermark(ts, late)
     counts = window_counts(timed, key, ts, seconds, limit)
 
     def save(batch: DataFrame, batch_id: int) -> None:

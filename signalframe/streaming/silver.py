@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from signalframe.sources import landing
-from signalframe.sources.tables import upsert_silver
+from signalframe.sources.tables import remove_path, upsert_silver
 
 
 def payload_stream(
@@ -56,6 +56,8 @@ def start_silver(
     def merge(batch: DataFrame, batch_id: int) -> None:
         rows = landing.normalise(batch, run_id)
         upsert_silver(landing.accepted(rows), silver, f"{state}/stage/batch={batch_id}", grain=grain)
+        # The batch before is committed once this one runs; its stage will not be asked for again.
+        remove_path(spark, f"{state}/stage/batch={batch_id - 1}")
         if rejects:
             landing.rejected(rows).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
 

@@ -225,6 +225,25 @@ def test_toronto_dates(spark):
     ]
 
 
+def test_as_of_utc(spark):
+    texts = ["2024-01-15T14:30:00-05:00", "2024-01-15T14:30:00Z", "2024-01-15T14:30:00", "soon", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    assert [r[0] for r in df.select(dates.as_of_utc(F.col("t"))).collect()] == [
+        "2024-01-15T19:30:00+00:00", "2024-01-15T14:30:00+00:00", "2024-01-15T14:30:00+00:00", "soon", None,
+    ]
+
+
+def test_wall_clock_times_are_refused(spark):
+    df = spark.createDataFrame([("2024-01-15 05:00:00",)], "s string").select(
+        F.col("s").cast("timestamp_ntz").alias("wall"), F.col("s").cast("timestamp").alias("instant")
+    )
+    assert contracts.require_instant(df, "instant") is df
+    with pytest.raises(contracts.ContractError, match="zone"):
+        contracts.require_instant(df, "wall")
+    assert str(df.select(dates.utc_wall(F.col("instant"))).first()[0]) == "2024-01-15 05:00:00"
+    assert str(df.select(dates.utc_wall(dates.utc_instant(F.col("wall")))).first()[0]) == "2024-01-15 05:00:00"
+
+
 def test_run_date_text(spark):
     texts = ["2024-01-15", "2024-1-5", "2024-02-30", "20240115", "", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")

@@ -137,6 +137,7 @@ def test_stream_equals_batch(spark, landed, tmp_path):
     # A file that arrives late by name is still taken; overlapping dates keep the newer version.
     land(landed, "FXUSDCAD", "20250114T120000Z", payload("FXUSDCAD", d2025_01_09="1.39", d2025_01_10="9.99"))
     assert run() == [("FXUSDCAD", "2025-01-09", 1.39), *want]
+    assert len(list((tmp_path / "state" / "stage").iterdir())) == 1
 
 
 def test_landing_round_trip(spark, tmp_path):

@@ -20,16 +20,21 @@ def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+@pytest.fixture(scope="module")
+def plans(spark):
+    return {name: plan(QUERIES[name](spark, SF)) for name in sorted(set(QUERIES) - EAGER)}
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - EAGER))
-def test_no_cross_joins(spark, name):
-    text = plan(QUERIES[name](spark, SF))
+def test_no_cross_joins(plans, name):
+    text = plans[name]
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
 
 
 @pytest.mark.parametrize("name", ["gold_features", "h7_features", "predictions", "impute_ffill", "baseline_probs", "direction_target"])
-def test_one_exchange_after_the_aggregate(spark, name):
+def test_one_exchange_after_the_aggregate(plans, name):
     """One for the map-side-combined observations, one for all windows, and a single sort."""
-    text = plan(QUERIES[name](spark, SF))
+    text = plans[name]
     assert text.count("Exchange hashpartitioning") == 2 and text.count("Sort [") == 1
 
 
@@ -45,12 +50,11 @@ def test_sums_are_combined_before_the_shuffle(spark):
     assert "partial_sum" in text.split("Exchange")[1]
 
 
-def test_medians_are_made_once(spark):
-    assert plan(QUERIES["h7_features"](spark, SF)).count("sort_array(") == 1
+def test_medians_are_made_once(plans):
+    assert plans["h7_features"].count("sort_array(") == 1
 
 
-def test_no_python_outside_the_fits(spark):
-    for name in sorted(set(QUERIES) - EAGER):
-        text = plan(QUERIES[name](spark, SF))
+def test_no_python_outside_the_fits(plans):
+    for name, text in plans.items():
         fits = name.startswith(("walkforward_", "fit_", "score_", "permutation_")) and name != "walkforward_folds"
         assert ("InPandas" in text or "ArrowEval" in text) == fits, name
