@@ -109,8 +109,8 @@ def exact_rank(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), n
     A global sort range-partitions on (keys, order), so a hot key is cut between partitions. Only a
     group that began in an earlier partition needs an offset, and a sorted partition can continue
     at most one such group: the offsets have at most one row per partition, which is what makes
-    broadcasting them safe whatever the data size. ``keys`` must not be null and ``order`` should be
-    total. The sorted rows are checkpointed, so both uses see the same partition boundaries.
+    broadcasting them safe whatever the data size. ``order`` should be total. The sorted rows are
+    checkpointed, so both uses see the same partition boundaries.
     """
     keyed = [F.col(k) for k in keys]
     placed = durable(df.orderBy(*keyed, *order).withColumn("_pos", F.monotonically_increasing_id()))
@@ -120,8 +120,12 @@ def exact_rank(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), n
     offsets = (
         sizes.withColumn("_before", F.sum("_n").over(earlier))
         .filter(F.col("_before") > 0)
-        .select(*keys, "_part", "_before")
+        .select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.col("_part").alias("_at"), "_before")
     )
+    # Null-safe: rows with a null key are a group like any other.
+    same = F.col("_part") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     local = (
         F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_pos"))
         if keys
@@ -129,9 +133,9 @@ def exact_rank(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), n
     )
     return (
         placed.withColumn("_local", local)
-        .join(F.broadcast(offsets), [*keys, "_part"], "left")
+        .join(F.broadcast(offsets), same, "left")
         .withColumn(name, (F.col("_local") + F.coalesce(F.col("_before"), F.lit(0))).cast("long"))
-        .drop("_pos", "_part", "_local", "_before")
+        .drop("_pos", "_part", "_local", "_before", "_at", *[f"_key_{k}" for k in keys])
     )
 
 

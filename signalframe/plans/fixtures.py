@@ -21,7 +21,8 @@ def observations(spark: SparkSession, folder: str) -> DataFrame:
     are combined map-side, so only (series, date) sums are shuffled.
     """
     lines = table(spark, folder, "lineitem").filter(F.weekday("l_shipdate") < 5)
-    cents = F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double")
+    # Prices have two decimals, so the nearest whole number is never a tie; rint needs no BigDecimal.
+    cents = F.sum(F.rint(F.col("l_extendedprice") * 100).cast("long")).cast("double")
     units = F.sum(F.col("l_quantity").cast("long")).cast("double")
     return (
         lines.groupBy(

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
+import statistics
 
 import numpy as np
 import pandas as pd
@@ -14,58 +16,74 @@ from signalframe.operators import features, quality
 from signalframe.schemas import GOLD_COLUMNS, H7_FEATURES, H7_TARGETS
 
 
-def pandas_gold(g):
-    """The wide table of one series by pandas."""
-    g = g.sort_values("obs_date").reset_index(drop=True)
-    v = g["value"]
-    out = pd.DataFrame({"obs_date": g["obs_date"], "value": v})
-    out["prev_value"] = v.shift(1)
-    out["daily_return"] = (v - v.shift(1)) / v.shift(1)
-    out["log_return"] = np.log(v / v.shift(1))
-    for n in (1, 2, 3, 5, 21):
-        out[f"lag_{n}d"] = v.shift(n)
-    out["return_5d"] = (v - v.shift(5)) / v.shift(5)
-    out["return_21d"] = (v - v.shift(21)) / v.shift(21)
-    out["rolling_mean_5d"] = v.rolling(5, min_periods=1).mean()
-    out["rolling_mean_21d"] = v.rolling(21, min_periods=1).mean()
-    out["rolling_std_5d"] = v.rolling(5, min_periods=2).std()
-    out["rolling_std_21d"] = v.rolling(21, min_periods=5).std()
-    out["volatility_ratio"] = out["rolling_std_5d"] / out["rolling_std_21d"]
-    out["ma_crossover"] = out["rolling_mean_5d"] / out["rolling_mean_21d"] - 1
-    out["distance_from_ma21"] = (v - out["rolling_mean_21d"]) / out["rolling_mean_21d"]
-    d = pd.to_datetime(g["obs_date"]).dt
-    for name, value in {
-        "day_of_week": d.dayofweek, "day_of_month": d.day, "week_of_year": d.isocalendar().week, "month": d.month,
-        "quarter": d.quarter, "year": d.year, "is_month_start": d.is_month_start, "is_month_end": d.is_month_end,
-        "is_quarter_end": d.is_quarter_end, "is_year_start": d.is_year_start, "is_year_end": d.is_year_end,
-    }.items():
-        out[name] = value
-    out["target_return_1d"] = out["log_return"].shift(-1)
-    out["target_direction_1d"] = (out["target_return_1d"] > 0).astype(int)
-    out["target_return_5d"] = (v.shift(-5) - v) / v
-    return out
-
-
-def pandas_h7(g, eps=0.0):
-    g = g.sort_values("obs_date").reset_index(drop=True)
-    v, r = g["value"], g["value"] / g["prev_value"] - 1
-    f = pd.DataFrame({"obs_date": g["obs_date"], "value": v, "ret_1d": r})
-    for n in (3, 5, 10, 21):
-        f[f"ret_{n}d"] = v / v.shift(n) - 1
-    for n in (5, 10, 21, 63):
-        f[f"vol_{n}d"] = r.rolling(n).std()
-    for n in (5, 10, 21):
-        f[f"mom_{n}d"] = r.rolling(n).mean()
-    f["zret_1d_21d"] = r / (f["vol_21d"] + eps)
-    f["zret_1d_63d"] = r / (f["vol_63d"] + eps)
-    f["vol_ratio_21_63"] = (f["vol_21d"] + eps) / (f["vol_63d"] + eps)
-    f["vol_21_med_252"] = f["vol_21d"].rolling(252).median()
-    f["is_high_vol"] = (f["vol_21d"] > f["vol_21_med_252"]).astype(int)
-    d = pd.to_datetime(g["obs_date"]).dt
-    f["day_of_week"], f["month"], f["is_month_end"] = d.dayofweek, d.month, d.is_month_end.astype(int)
-    f["fwd_return_7d"] = v.shift(-7) / v - 1
-    f["direction_7d"] = (f["fwd_return_7d"] > 0).astype(int)
-    return f.iloc[:-7].dropna()
+def last(x, i, n):
+    """The ``n`` values up to position ``i``, or None when they are not all known."""
+    part = x[i - n + 1 : i + 1] if i >= n - 1 else []
+    return part if len(part) == n and None not in part else None
+
+
+def gold_by_hand(group):
+    """The wide table of one series, row by row."""
+    group = group.sort_values("obs_date")
+    days, v = list(group["obs_date"]), [float(x) for x in group["value"]]
+    out = []
+    for i, day in enumerate(days):
+        past = {n: v[i - n] if i >= n else None for n in (1, 2, 3, 5, 21)}
+        ahead = {n: v[i + n] if i + n < len(v) else None for n in (1, 5)}
+        short, long = v[max(0, i - 4) : i + 1], v[max(0, i - 20) : i + 1]
+        mean_5, mean_21 = statistics.fmean(short), statistics.fmean(long)
+        std_5 = statistics.stdev(short) if len(short) >= 2 else None
+        std_21 = statistics.stdev(long) if len(long) >= 5 else None
+        up = math.log(ahead[1] / v[i]) if ahead[1] else None
+        tomorrow = day + dt.timedelta(days=1)
+        yesterday = day - dt.timedelta(days=1)
+        row = {"obs_date": day, "value": v[i], "prev_value": past[1]}
+        row |= {f"lag_{n}d": x for n, x in past.items()}
+        row |= {
+            "daily_return": past[1] and (v[i] - past[1]) / past[1],
+            "log_return": past[1] and math.log(v[i] / past[1]),
+            "return_5d": past[5] and (v[i] - past[5]) / past[5],
+            "return_21d": past[21] and (v[i] - past[21]) / past[21],
+            "rolling_mean_5d": mean_5, "rolling_mean_21d": mean_21, "rolling_std_5d": std_5, "rolling_std_21d": std_21,
+            "volatility_ratio": std_21 and std_5 / std_21,
+            "ma_crossover": mean_5 / mean_21 - 1, "distance_from_ma21": (v[i] - mean_21) / mean_21,
+            "day_of_week": day.weekday(), "day_of_month": day.day, "week_of_year": day.isocalendar()[1],
+            "month": day.month, "quarter": (day.month + 2) // 3, "year": day.year,
+            "is_month_start": yesterday.month != day.month, "is_month_end": tomorrow.month != day.month,
+            "is_quarter_end": (tomorrow.month + 2) // 3 != (day.month + 2) // 3,
+            "is_year_start": yesterday.year != day.year, "is_year_end": tomorrow.year != day.year,
+            "target_return_1d": up, "target_direction_1d": int(up is not None and up > 0),
+            "target_return_5d": ahead[5] and (ahead[5] - v[i]) / v[i],
+        }
+        out.append(row)
+    return pd.DataFrame(out)
+
+
+def h7_by_hand(group, eps=0.0):
+    """The model inputs of one series, row by row; rows with anything missing are left out."""
+    group = group.sort_values("obs_date")
+    days, v = list(group["obs_date"]), [float(x) for x in group["value"]]
+    r = [None] + [b / a - 1 for a, b in zip(v, v[1:])]
+    vol = {n: [statistics.stdev(w) if (w := last(r, i, n)) else None for i in range(len(v))] for n in (5, 10, 21, 63)}
+    out = []
+    for i, day in enumerate(days):
+        year = last(vol[21], i, 252)
+        if year is None or i + 7 >= len(v):
+            continue
+        median = statistics.median(year)
+        row = {"obs_date": day, "value": v[i], "ret_1d": r[i], "vol_21_med_252": median}
+        row |= {f"ret_{n}d": v[i] / v[i - n] - 1 for n in (3, 5, 10, 21)}
+        row |= {f"vol_{n}d": x[i] for n, x in vol.items()}
+        row |= {f"mom_{n}d": statistics.fmean(last(r, i, n)) for n in (5, 10, 21)}
+        row |= {f"zret_1d_{n}d": r[i] / (vol[n][i] + eps) for n in (21, 63)}
+        row |= {
+            "vol_ratio_21_63": (vol[21][i] + eps) / (vol[63][i] + eps), "is_high_vol": int(vol[21][i] > median),
+            "day_of_week": day.weekday(), "month": day.month,
+            "is_month_end": int((day + dt.timedelta(days=1)).month != day.month),
+            "fwd_return_7d": v[i + 7] / v[i] - 1, "direction_7d": int(v[i + 7] > v[i]),
+        }
+        out.append(row)
+    return pd.DataFrame(out)
 
 
 def close(found, want, columns):
@@ -78,24 +96,23 @@ def close(found, want, columns):
             np.testing.assert_allclose(a.astype(float), b.astype(float), rtol=1e-9, atol=1e-12, equal_nan=True, err_msg=c)
 
 
-def test_gold_equals_pandas(spark, walk):
+def test_gold_equals_row_by_row(spark, walk):
     gold = features.gold_features(spark.createDataFrame(walk))
     assert gold.columns == [c for c in GOLD_COLUMNS if c in gold.columns]
     for series, group in walk.groupby("series_id"):
         found = gold.filter(F.col("series_id") == series).orderBy("obs_date").toPandas()
-        want = pandas_gold(group)
+        want = gold_by_hand(group)
         close(found, want, want.columns)
 
 
-def test_h7_equals_pandas(spark, walk):
+def test_h7_equals_row_by_row(spark, walk):
     gold = features.gold_features(spark.createDataFrame(walk)).drop("daily_return")
     for eps in (0.0, 1e-12):
         feats = features.h7_features(gold, eps=eps)
         assert feats.columns == ["series_id", "obs_date", *H7_FEATURES, *H7_TARGETS]
         for series, group in walk.groupby("series_id"):
             found = feats.filter(F.col("series_id") == series).orderBy("obs_date").toPandas()
-            group = group.assign(prev_value=group["value"].shift(1))
-            want = pandas_h7(group, eps)
+            want = h7_by_hand(group, eps)
             close(found, want, want.columns)
 
 

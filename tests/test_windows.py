@@ -34,6 +34,12 @@ def test_exact_rank_within_keys(spark, coalescing):
     assert len(merged) == 3000 and (merged["rank"] == merged["rank_want"]).all()
 
 
+def test_exact_rank_of_null_keys(spark, coalescing):
+    df = hot_frame(spark).withColumn("key", F.nullif("key", F.lit("hot")))
+    found = windows.exact_rank(df, [F.asc("v"), F.asc("id")], keys=("key",)).filter("key is null")
+    assert sorted(r["rank"] for r in found.collect()) == list(range(1, 2001))
+
+
 def test_exact_rank_overall(spark, coalescing):
     df = hot_frame(spark)
     found = windows.exact_rank(df, [F.asc("v"), F.asc("id")]).orderBy("rank").toPandas()
