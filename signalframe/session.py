@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,7 +35,29 @@ def build_session(app: str = "signalframe", master: str | None = None, **setting
         builder = builder.master(master)
     for key, value in options.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once per context, so that Python functions run wherever the driver was started.
+
+    The archive is written on the driver and handed out by Spark's own file server.
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_shipped_signalframe", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ship-"), "signalframe.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(root):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._shipped_signalframe = True
 
 
 def shared_folder(spark: SparkSession) -> str:
