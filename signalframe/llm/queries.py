@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from signalframe.llm.bpe import op1_bpe_encode
 from signalframe.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from signalframe.llm.mixing import OP9_SQL, op9_mix_sources
+from signalframe.llm.simhash import op2_simhash_dedup
 
 LLM_QUERIES = {
+    "op1_bpe_encode": op1_bpe_encode,
+    "op2_simhash_dedup": op2_simhash_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
