@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 from signalframe.llm.bpe import op1_bpe_encode
+from signalframe.llm.bottomk import op6_fingerprints
 from signalframe.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from signalframe.llm.mixing import OP9_SQL, op9_mix_sources
 from signalframe.llm.simhash import op2_simhash_dedup
+from signalframe.llm.substring_dedup import op7_substring_dedup
 
 LLM_QUERIES = {
     "op1_bpe_encode": op1_bpe_encode,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_substring_dedup": op7_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
 }
