@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from signalframe.session import durable
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -56,3 +58,24 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
         .filter("_n = 1")
         .drop("_n", "_id", "_h")
     )
+
+
+def running_total(df: DataFrame, keys: tuple[str, ...], order: list[Column], value: str, name: str) -> DataFrame:
+    """Sum of ``value`` up to and with each row, within ``keys`` in ``order``, without a group in one task.
+
+    A global sort range-partitions on keys and order. Only a group that began in an earlier partition needs an offset,
+    and a sorted partition continues at most one, so the offsets that are broadcast have at most one row per
+    partition. The sorted rows are checkpointed: both uses see the same boundaries. Keys are not null.
+    """
+    placed = durable(df.orderBy(*keys, *order).withColumn("_pos", F.monotonically_increasing_id()))
+    placed = placed.withColumn("_part", F.shiftright("_pos", 33))
+    sums = placed.groupBy(*keys, "_part").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.withColumn("_before", F.sum("_sum").over(earlier)).filter("_before is not null").drop("_sum")
+    here = Window.partitionBy(*keys, "_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.withColumn(name, F.sum(value).over(here))
+        .join(F.broadcast(offsets), [*keys, "_part"], "left")
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
+        .drop("_pos", "_part", "_before")
+    )

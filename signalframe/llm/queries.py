@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from signalframe.llm.bpe import op1_bpe_encode
 from signalframe.llm.bottomk import op6_fingerprints
+from signalframe.llm.chat_tree import OP3_SQL, op3_chat_tree
 from signalframe.llm.exact_dedup import OP10_SQL, op10_exact_dedup
+from signalframe.llm.language_crf import op5_language_id
 from signalframe.llm.mixing import OP9_SQL, op9_mix_sources
 from signalframe.llm.simhash import op2_simhash_dedup
 from signalframe.llm.substring_dedup import op7_substring_dedup
@@ -12,6 +14,8 @@ from signalframe.llm.substring_dedup import op7_substring_dedup
 LLM_QUERIES = {
     "op1_bpe_encode": op1_bpe_encode,
     "op2_simhash_dedup": op2_simhash_dedup,
+    "op3_chat_tree": op3_chat_tree,
+    "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
     "op9_mix_sources": op9_mix_sources,
@@ -19,6 +23,7 @@ LLM_QUERIES = {
 }
 
 LLM_ORACLES = {
+    "op3_chat_tree": OP3_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
