@@ -10,11 +10,13 @@ from signalframe.llm.language_crf import op5_language_id
 from signalframe.llm.mixing import OP9_SQL, op9_mix_sources
 from signalframe.llm.simhash import op2_simhash_dedup
 from signalframe.llm.substring_dedup import op7_substring_dedup
+from signalframe.llm.surrogates import op4_pii_surrogates
 
 LLM_QUERIES = {
     "op1_bpe_encode": op1_bpe_encode,
     "op2_simhash_dedup": op2_simhash_dedup,
     "op3_chat_tree": op3_chat_tree,
+    "op4_pii_surrogates": op4_pii_surrogates,
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
