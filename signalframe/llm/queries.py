@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from signalframe.llm.bpe import op1_bpe_encode
+from corpus_pipeline import ORACLE_SQL, run
 from signalframe.llm.bottomk import op6_fingerprints
 from signalframe.llm.chat_tree import OP3_SQL, op3_chat_tree
 from signalframe.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from signalframe.llm.language_crf import op5_language_id
+from signalframe.llm.license_scan import op8_license_scan
 from signalframe.llm.mixing import OP9_SQL, op9_mix_sources
 from signalframe.llm.simhash import op2_simhash_dedup
 from signalframe.llm.substring_dedup import op7_substring_dedup
@@ -20,8 +22,10 @@ LLM_QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_fingerprints": op6_fingerprints,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "pipeline": run,
 }
 
 LLM_ORACLES = {
@@ -29,3 +33,5 @@ LLM_ORACLES = {
     "op9_mix_sources": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
 }
+if ORACLE_SQL:
+    LLM_ORACLES["pipeline"] = ORACLE_SQL
