@@ -91,8 +91,8 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     are not read. Ids are longs.
     """
     rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"),
-        row_hash(F.col(text_col)).alias("_h"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), row_hash(F.col(text_col)).alias("_h"),
+        F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
     )
     keys = rows.select("_id", "_h", F.char_length("_text").cast("long").alias("_n")).distinct()
     ranked = exact_rank(keys, [F.col("_id"), F.col("_h")], (), "_rank")
@@ -102,18 +102,19 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         (F.col("_rank") % total + 1).alias("_rank"),
     )
     gives = ranked.join(before, "_rank").select("_id", "_h", "_to_id", "_to_h", "_cut")
-    # The documents are shuffled once by key for both sides; heads and sketches follow to the document before.
+    # Both sides read the same columns, so the documents are shuffled by key once; heads and sketches follow to the
+    # document before.
     one = Window.partitionBy("_id", "_h").orderBy("_h")
     heads = rows.select("_id", "_h", "_text").join(gives, ["_id", "_h"]).withColumn("_one", F.row_number().over(one)).filter("_one = 1")
     heads = with_sketch(heads, "_text", "_next", k, shingle).select(
         F.col("_to_id").alias("_id"), F.col("_to_h").alias("_h"), F.left("_text", F.col("_cut")).alias("_head"), "_next"
     )
-    joined = rows.select("doc_id", "_id", "_h", "_text").join(heads, ["_id", "_h"])
+    joined = rows.select("_id", "_h", "_text").join(heads, ["_id", "_h"])
     n = F.char_length("_text")
     edited = joined.withColumn("n_chars", n.cast("long")).withColumn("_edited", F.concat(F.left("_text", n - F.floor(n / 4).cast("int")), "_head"))
     edited = with_sketch(with_sketch(edited, "_text", "_own", k, shingle), "_edited", "_new", k, shingle)
     return edited.select(
-        "doc_id", "n_chars",
+        F.nullif(F.col("_id"), F.lit(NO_ID)).alias("doc_id"), "n_chars",
         F.sha2("_edited", 256).alias("edited_sha256"),
         as_text(F.col("_own")).alias("fingerprint"),
         as_text(F.col("_new")).alias("edited_fingerprint"),
