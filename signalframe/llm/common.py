@@ -48,16 +48,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", text_col
 
     Repeats of a kept row go: the semi join and the row number share one exchange on the key.
     """
-    keyed = docs.withColumn("_id", F.col(id_col)).withColumn("_h", row_hash(F.col(text_col)))
+    # All columns of a row travel as one, so that none clashes with the key.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"), row_hash(F.col(text_col)).alias("_h"))
     left, right = keyed.alias("_l"), kept.select("_id", "_h").alias("_r")
     on = F.col("_l._id").eqNullSafe(F.col("_r._id")) & (F.col("_l._h") == F.col("_r._h"))
     one = Window.partitionBy(F.coalesce(F.col("_id"), F.lit(0)), F.col("_id").isNull(), "_h").orderBy("_h")
-    return (
-        left.join(right, on, "left_semi")
-        .withColumn("_n", F.row_number().over(one))
-        .filter("_n = 1")
-        .drop("_n", "_id", "_h")
-    )
+    return left.join(right, on, "left_semi").withColumn("_n", F.row_number().over(one)).filter("_n = 1").select("_row.*")
 
 
 def running_total(df: DataFrame, keys: tuple[str, ...], order: list[Column], value: str, name: str) -> DataFrame:

@@ -106,15 +106,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **setti
         .agg(F.sum("copies").cast("int").alias("_copies"))
         .filter("_copies > 0")
     )
-    keyed = docs.withColumn("_id0", F.col(id_col)).withColumn("_h0", row_hash(F.col(text_col)))
+    # All columns of a row travel as one, so that none clashes with the key.
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id0"), row_hash(F.col(text_col)).alias("_h0"))
     same = F.col("_id0").eqNullSafe(F.col("_id")) & (F.col("_h0") == F.col("_h"))
     one = Window.partitionBy("_id", "_h").orderBy("_h")
     return (
         keyed.join(plan, same)
         .withColumn("_n", F.row_number().over(one))
         .filter("_n = 1")
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-        .drop("_id", "_h", "_id0", "_h0", "_copies", "_copy", "_n")
+        .select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+        .select("_row.*")
     )
 
 
