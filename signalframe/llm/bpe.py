@@ -12,13 +12,11 @@ import hashlib
 import heapq
 import json
 import re
-import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +42,9 @@ class Vocabulary:
     """Words to ids and back, from the JSON text of a tokenizer with BPE, byte letters and a word-end suffix."""
 
     def __init__(self, text: str):
+        from tokenizers import Regex, Tokenizer
+        from tokenizers.pre_tokenizers import Split
+
         spec = json.loads(text)
         model = spec["model"]
         self.ids: dict[str, int] = model["vocab"]
@@ -57,10 +58,14 @@ class Vocabulary:
         self.last_ids = [self.ids.get(c + self.end) for c in byte_letters()]
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split if self.special else None
         parts = r"'s|'t|'re|'ve|'m|'ll|'d|"
-        self.units = regex.compile(parts + r"\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+").findall
         letters, numbers, space = "a-z\xaa\xb5\xbaß-öø-\u024f", "0-9²³¹¼-¾", r"\x09-\x0d\x20\x85\xa0"
         self.latin_units = re.compile(parts + f"[{letters}]+|[{numbers}]|[^{space}{letters}{numbers}]+").findall
-        self.not_latin = re.compile(r"[^\x00-\u024f]").search
+        # The three letters are Latin, but their lower case is not in these blocks.
+        self.not_latin = re.compile(r"[^\x00-\u024f]|[\u0130\u023a\u023e]").search
+        # Other scripts are normalised and split by the library, whose tables of letters and numbers are the measure.
+        self.normalise = Tokenizer.from_str(text).normalizer.normalize_str
+        units = Split(Regex(parts + r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), "removed", invert=True)
+        self.units = lambda part: [unit for unit, _ in units.pre_tokenize_str(self.normalise(part))]
         self.known: dict[str, tuple[str, str]] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -70,8 +75,7 @@ class Vocabulary:
             if part in self.special:
                 out.append(part)
             else:
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()  # a final sigma is no special case
-                out += self.units(part) if self.not_latin(part) else self.latin_units(part)
+                out += self.units(part) if self.not_latin(part) else self.latin_units(part.lower())
         return out
 
     def merged(self, words: list[str]) -> list[list[int]]:

@@ -86,7 +86,7 @@ def mix_plan(
     # A null source joins like any other.
     keyed = lambda df: df.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     joined = salted_join(keyed(ranked), keyed(targets).drop("source"), ["_s", "_n"], "_k", salts=task_slots(spark))
-    rate = F.col("target") / F.col("source_size")
+    rate = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
     upto = lambda k: F.floor(k * rate + F.col("_u"))
     copies = F.coalesce(upto(F.col("_k")) - upto(F.col("_k") - 1), F.lit(0)).cast("long")
     return joined.withColumn("copies", copies).select(
