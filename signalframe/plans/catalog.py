@@ -431,7 +431,7 @@ def silver_upsert(spark, folder):
     root = scratch_path(spark, "upsert")
     for i, third in enumerate((2, 0, 1, 0)):
         batch = rows.filter(F.col("event_id") % 3 == third)
-        tables.upsert_silver(batch, f"{root}/silver", f"{root}/stage/{i}")
+        tables.upsert_silver(batch, f"{root}/silver", f"{root}/stage/{i}", keep_stage=False)
     return rounded(tables.read_silver(spark, f"{root}/silver").drop("raw_path"))
 
 
@@ -482,6 +482,7 @@ def stream_silver(spark, folder):
             f"{root}/rejects",
             landing.WRITTEN_PAYLOADS,
             grain="month",
+            meta_files=landing.WRITTEN_SIDECARS,
         ).awaitTermination()
     return rounded(tables.read_silver(spark, f"{root}/silver").select("series_id", "obs_date", "value"))
 
@@ -539,6 +540,18 @@ def gold_scan(spark, folder):
     return quality.input_range(found, ("series_id",))
 
 
+@query
+def gold_scan_rejects(spark, folder):
+    """What ``gold_scan`` leaves out, per folder: a file of several series, a file that is no Parquet."""
+    root = scratch_path(spark, "gold")
+    obs = fixtures.observations(spark, folder)
+    tables.write_gold(obs, f"{root}/a")
+    obs.coalesce(1).write.parquet(f"{root}/mixed")
+    tables.write_marker(spark, f"{root}/torn/part.parquet", "PAR1 and no more")
+    where = F.regexp_extract("file", r"/([^/]+)/[^/]+$", 1)
+    return tables.gold_file_rejects(spark, root).groupBy(where.alias("folder"), "reason").agg(F.count(F.lit(1)).alias("files"))
+
+
 @query
 def publish_run(spark, folder):
     root = scratch_path(spark, "publish")
@@ -546,6 +559,10 @@ def publish_run(spark, folder):
     early = preds.filter(F.col("obs_date") < F.lit("1999-01-01").cast("date"))
     tables.publish_run(spark, {"predictions": early}, root, "2024-01-14")
     tables.publish_run(spark, {"predictions": preds}, root, "2024-01-15")
+    try:  # the same date once more: refused, and readers stay where they are
+        tables.publish_run(spark, {"predictions": early, "manifest": early.limit(0)}, root, "2024-01-15")
+    except ValueError:
+        pass
     return tables.read_latest(spark, root, "predictions")
 
 

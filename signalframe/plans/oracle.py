@@ -568,6 +568,7 @@ select event_id, cast((ts at time zone 'UTC') at time zone 'America/Toronto' as
        concat(strftime(date_trunc('second', (ts at time zone 'UTC') at time zone 'America/Toronto'), '%Y-%m-%dT%H:%M:%S'), '-05:00') as local_iso
 from events""",
     "gold_scan": with_(OBSERVATIONS, select=f"select series_id, {ROW_RANGE} from observations group by 1"),
+    "gold_scan_rejects": "select 'mixed' as folder, 'mixed' as reason, 1 as files union all select 'torn', 'no rows', 1",
     "publish_run": with_(*OBS_PRED, select=f"""
 select obs_date, series_id, p_up_logreg + 0e0 as p_up_logreg, {label('p_up_logreg', 0.6, 1e-10)} as action_logreg from predictions"""),
     "run_manifest": with_(*OBS_PRED, select="""

@@ -50,16 +50,24 @@ def read_payloads(spark: SparkSession, root: str, payload_files: str = PAYLOAD_F
     )
 
 
-def read_sidecars(spark: SparkSession, root: str, meta_files: str = META_FILES) -> DataFrame:
-    """One row per sidecar, with its directory."""
-    return (
+def read_sidecars(
+    spark: SparkSession, root: str, meta_files: str = META_FILES, ingested: tuple[str, str] | None = None
+) -> DataFrame:
+    """One row per sidecar, with its directory.
+
+    ``ingested`` gives the first and last ingest time of the directories to read, as their names
+    have it; others are pruned. So are those that a filter on a partition column leaves out.
+    """
+    rows = (
         spark.read.schema(PAYLOAD_META)
         .option("multiLine", True)
-        .option("recursiveFileLookup", True)
+        .option("basePath", root)
         .option("pathGlobFilter", meta_files)
         .json(root)
-        .withColumn("_dir", directory(F.col("_metadata.file_path")))
     )
+    if ingested is not None:
+        rows = rows.filter(F.col("ingest_ts").cast("string").between(*ingested))
+    return rows.withColumn("_dir", directory(F.col("_metadata.file_path")))
 
 
 def normalise(payloads: DataFrame, run_id: str, sidecars: DataFrame | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +29,32 @@ def remove_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: Written by this library when a folder is whole; not every committer leaves a marker of its own.
+COMPLETE = "_complete"
+
+
+def write_marker(spark: SparkSession, path: str, text: str) -> None:
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_marker(spark: SparkSession, path: str) -> str | None:
+    if not path_exists(spark, path):
+        return None
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    source = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(target)
+    text = jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    source.close()
+    return text
+
+
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Did the job that wrote a folder finish."""
-    return path_exists(spark, os.path.join(path, "_SUCCESS"))
+    return path_exists(spark, os.path.join(path, COMPLETE))
 
 
 def overwrite_partitions(df: DataFrame, path: str, partitions: list[str], fmt: str = "parquet", **options) -> None:
@@ -48,15 +72,31 @@ def overwrite_partitions(df: DataFrame, path: str, partitions: list[str], fmt: s
 # --- silver ----------------------------------------------------------------------------------
 
 
+def batch_mark(batch: DataFrame) -> str:
+    """Number and checksum of a batch's observations, whatever run brings them."""
+    named = [c for c in ("series_id", "obs_date", "value", "ingested_at", "raw_path") if c in batch.columns]
+    n, total = batch.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*named).cast("decimal(20,0)"))).first()
+    return f"{n}:{total}"
+
+
 def upsert_silver(
-    batch: DataFrame, path: str, stage: str, partitions: list[str] | None = None, grain: str = "day"
+    batch: DataFrame,
+    path: str,
+    stage: str,
+    partitions: list[str] | None = None,
+    grain: str = "day",
+    keep_stage: bool = True,
 ) -> None:
     """Merge a batch of observations into the silver table; the newest version of a key wins.
 
-    Only the date partitions the batch touches are read and rewritten. The merged rows are first
-    written to ``stage``; a repeated call with the same finished stage only publishes it again. So
-    a crash while partitions are being replaced is repaired by a replay, and nothing already
-    replaced is read back.
+    Only the date partitions the batch touches are read and rewritten: the batch is written to
+    ``stage`` first, and its dates (one per calendar date at most) become an explicit filter on the
+    partition column. The merged rows are staged too; a repeated call with the same finished stage
+    only publishes it again. So a crash while partitions are being replaced is repaired by a replay,
+    and nothing already replaced is read back. A stage remembers its batch: another batch on a
+    finished stage is an error, never a silent loss.
+
+    Without ``keep_stage`` the staged rows go once they are published; a replay must then bring a new stage.
 
     ``ds`` is the date, or its month with ``grain="month"``, which suits few series with long
     histories. By default a folder holds all series of its ``ds``, in files of useful size;
@@ -66,17 +106,26 @@ def upsert_silver(
         raise ValueError(f"grain must be one of {GRAINS}")
     spark = batch.sparkSession
     partitions = partitions or SILVER_PARTITIONS
-    if not is_complete(spark, stage):
-        rows = batch.withColumn("ds", F.trunc("obs_date", "month") if grain == "month" else F.col("obs_date"))
+    held = read_marker(spark, f"{stage}/{COMPLETE}")
+    if held is None:
+        dated = batch.withColumn("ds", F.trunc("obs_date", "month") if grain == "month" else F.col("obs_date"))
+        dated.write.mode("overwrite").parquet(f"{stage}/batch")
+        rows = spark.read.parquet(f"{stage}/batch")
+        mark = batch_mark(rows)
         if path_exists(spark, path):
-            # Distinct ds values: at most one per calendar date, so this side is small by nature.
-            dates = rows.select("ds").distinct()
-            old = spark.read.parquet(path).join(F.broadcast(dates), "ds", "left_semi")
+            touched = [r[0] for r in rows.select("ds").distinct().collect()]
+            old = spark.read.parquet(path).filter(F.col("ds").isin(touched))
             rows = old.unionByName(rows, allowMissingColumns=True)
-        latest_versions(rows).write.mode("overwrite").parquet(stage)
+        latest_versions(rows).write.mode("overwrite").parquet(f"{stage}/merged")
+        write_marker(spark, f"{stage}/{COMPLETE}", mark)
+        remove_path(spark, f"{stage}/batch")
+    elif held != batch_mark(batch):
+        raise ValueError(f"stage {stage!r} holds another batch: give each batch a stage of its own")
     order = list(dict.fromkeys([*partitions, "series_id", "obs_date"]))
     # By range, so that a date is in as few files as its size asks for and a large one in several.
-    overwrite_partitions(spark.read.parquet(stage).repartitionByRange(*order), path, partitions)
+    overwrite_partitions(spark.read.parquet(f"{stage}/merged").repartitionByRange(*order), path, partitions)
+    if not keep_stage:
+        remove_path(spark, stage)
 
 
 def read_silver(spark: SparkSession, path: str, since: str | None = None, dates: list[str] | None = None) -> DataFrame:
@@ -121,14 +170,7 @@ def series_of_path(path: Column) -> Column:
     return F.coalesce(F.nullif(hive, F.lit("")), F.nullif(folder, F.lit("")), parent)
 
 
-def scan_gold_files(
-    spark: SparkSession, root: str, files: str = "*.parquet", max_series: int | None = None
-) -> DataFrame:
-    """All gold files below ``root``, whatever their layout.
-
-    A file without ``series_id`` gets it from its path; a file that holds several series is left
-    out whole; unreadable files are skipped. ``max_series`` keeps the first series by name.
-    """
+def _named_gold_rows(spark: SparkSession, root: str, files: str) -> DataFrame:
     raw = (
         spark.read.option("recursiveFileLookup", True)
         .option("pathGlobFilter", files)
@@ -138,19 +180,42 @@ def scan_gold_files(
     )
     raw = raw.withColumn("_file", F.col("_metadata.file_path"))
     given = F.col("series_id") if "series_id" in raw.columns else F.lit(None).cast("string")
-    named = raw.withColumn("series_id", F.coalesce(given, series_of_path(F.col("_file"))))
-    # One aggregated row per file; whether it is small enough to broadcast is measured at run time.
-    mixed = (
+    return raw.withColumn("series_id", F.coalesce(given, series_of_path(F.col("_file"))))
+
+
+def _mixed_files(named: DataFrame) -> DataFrame:
+    """Files that hold several series. One aggregated row per file; reads only ``series_id``."""
+    return (
         named.groupBy("_file")
         .agg(F.min("series_id").alias("_lo"), F.max("series_id").alias("_hi"))
         .filter(F.col("_lo") != F.col("_hi"))
         .select("_file")
     )
-    single = named.join(mixed, "_file", "left_anti").drop("_file")
-    if max_series is not None:
-        first = single.select("series_id").distinct().orderBy("series_id").limit(max_series)
-        single = single.join(first, "series_id", "left_semi")
-    return single
+
+
+def scan_gold_files(spark: SparkSession, root: str, files: str = "*.parquet") -> DataFrame:
+    """All gold files below ``root``, whatever their layout.
+
+    A file without ``series_id`` gets it from its path. A file that holds several series is left
+    out whole and an unreadable one is skipped; ``gold_file_rejects`` tells which and why.
+    """
+    named = _named_gold_rows(spark, root, files)
+    return named.join(_mixed_files(named), "_file", "left_anti").drop("_file")
+
+
+def gold_file_rejects(spark: SparkSession, root: str, files: str = "*.parquet") -> DataFrame:
+    """Files that ``scan_gold_files`` leaves out: file, reason (``mixed``, or ``no rows`` when nothing can be read)."""
+    named = _named_gold_rows(spark, root, files).select("_file", "series_id")
+    every = (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .option("pathGlobFilter", files)
+        .load(root)
+        .select(F.col("_metadata.file_path").alias("_file"))
+    )
+    unread = every.join(named.select("_file").distinct(), "_file", "left_anti").withColumn("reason", F.lit("no rows"))
+    mixed = _mixed_files(named).withColumn("reason", F.lit("mixed"))
+    return mixed.unionByName(unread).withColumnRenamed("_file", "file")
 
 
 # --- outputs ---------------------------------------------------------------------------------
@@ -187,13 +252,15 @@ def write_latest(documents: DataFrame, rows: DataFrame, path: str) -> None:
 def publish_run(spark: SparkSession, outputs: dict[str, DataFrame], root: str, run_date: str) -> str:
     """Write every output of a run and make it the latest one, all or nothing.
 
-    Outputs go to ``<root>/runs/run_date=D/<name>``. When all are complete and none is empty, one
-    pointer row is added below ``<root>/latest``; readers follow the newest. A failure before that
-    leaves every reader on the run before.
+    Outputs go to ``<root>/runs/run_date=D/attempt=<id>/<name>``, a new folder for each attempt. When
+    all are complete and none is empty, one pointer row is added below ``<root>/latest``; readers
+    follow the newest. A failure before that leaves every reader on the run before, also when
+    the same date is run again.
     """
-    folder = f"{root}/runs/run_date={run_date}"
+    folder = f"{root}/runs/run_date={run_date}/attempt={uuid.uuid4().hex[:12]}"
     for name, df in outputs.items():
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+        df.write.parquet(f"{folder}/{name}")
+        write_marker(spark, f"{folder}/{name}/{COMPLETE}", run_date)
     for name in outputs:
         written = f"{folder}/{name}"
         if not is_complete(spark, written) or spark.read.parquet(written).isEmpty():

@@ -165,7 +165,8 @@ def test_gold_scan_layouts(spark, tmp_path):
     (root / "broken.parquet").write_bytes(b"PAR1 nothing")
     found = tables.scan_gold_files(spark, str(root))
     assert sorted(r["series_id"] for r in found.collect()) == ["FXEURCAD", "FXGBPCAD", "FXUSDCAD", "other"]
-    assert sorted(r["series_id"] for r in tables.scan_gold_files(spark, str(root), max_series=2).collect()) == ["FXEURCAD", "FXGBPCAD"]
+    rejects = {(r["file"].split("/")[-2], r["reason"]) for r in tables.gold_file_rejects(spark, str(root)).collect()}
+    assert rejects == {("mixed", "mixed"), ("gold", "no rows")}
 
 
 def test_gold_replaces_whole_series(spark, tmp_path):
@@ -188,6 +189,54 @@ def test_publish_is_all_or_nothing(spark, tmp_path):
     assert tables.read_latest(spark, root, "predictions").count() == 4
 
 
+def test_same_date_again_leaves_latest_whole(spark, tmp_path):
+    """A refused and a failing second run of one date: readers still see the first."""
+    root = str(tmp_path)
+    tables.publish_run(spark, {"predictions": spark.range(3), "manifest": spark.range(2)}, root, "2024-01-15")
+    with pytest.raises(ValueError, match="missing or empty"):
+        tables.publish_run(spark, {"predictions": spark.range(9), "manifest": spark.range(0)}, root, "2024-01-15")
+    with pytest.raises(Exception, match="on purpose"):
+        bad = spark.range(4).select(F.raise_error(F.lit("on purpose")).cast("long").alias("id"))
+        tables.publish_run(spark, {"predictions": bad, "manifest": spark.range(1)}, root, "2024-01-15")
+    assert [tables.read_latest(spark, root, n).count() for n in ("predictions", "manifest")] == [3, 2]
+
+
+def test_another_batch_on_a_used_stage(spark, tmp_path):
+    path, stage = str(tmp_path / "silver"), str(tmp_path / "stage")
+    tables.upsert_silver(observations(spark, BATCHES[0]), path, stage)
+    with pytest.raises(ValueError, match="another batch"):
+        tables.upsert_silver(observations(spark, BATCHES[1]), path, stage)
+    tables.upsert_silver(observations(spark, BATCHES[1]), path, str(tmp_path / "own"), keep_stage=False)
+    assert not (tmp_path / "own").exists() and len(silver(spark, path)) >= 3
+
+
+def test_stream_follows_the_sidecars(spark, tmp_path, monkeypatch):
+    """The path says one order, the sidecars the other; stream and batch agree. Only touched dates are read."""
+    root, out, state = (str(tmp_path / n) for n in ("landing", "silver", "state"))
+    schema = "source string, series string, ingest_date string, ingest_ts string, obs_date date, value double"
+    plans = []
+    merge = tables.latest_versions
+    monkeypatch.setattr(tables, "latest_versions", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or merge(df))
+    for ts, value in (("20250115T120000Z", 1.5), ("20250116T120000Z", 9.5)):
+        row = [("daily", "FXUSDCAD", ts[:8], ts, dt.date(2025, 1, 10), value)]
+        landing.write_landing(landing.build_payloads(spark.createDataFrame(row, schema)), root)
+        late = "2025-01-20T00:00:00Z" if value == 1.5 else "2025-01-16T12:00:00Z"
+        for meta in (tmp_path / "landing").rglob(landing.WRITTEN_SIDECARS):
+            if f"ingest_ts={ts}" in str(meta):
+                opener = gzip.open if meta.suffix == ".gz" else open
+                with opener(meta, "rt") as file:
+                    doc = json.loads(file.read())
+                doc["retrieved_at_utc"] = late
+                with opener(meta, "wt") as file:
+                    file.write(json.dumps(doc))
+                for crc in meta.parent.glob(f".{meta.name}.crc"):
+                    crc.unlink()
+        start_silver(spark, root, out, state, "r", payload_files=landing.WRITTEN_PAYLOADS, meta_files=landing.WRITTEN_SIDECARS).awaitTermination()
+    batch = merge(landing.accepted(landing.scan(spark, root, "r", landing.WRITTEN_PAYLOADS, landing.WRITTEN_SIDECARS)))
+    assert silver(spark, out) == [("FXUSDCAD", "2025-01-10", 1.5)] == [(r["series_id"], str(r["obs_date"]), r["value"]) for r in batch.collect()]
+    assert "ds" in plans[-1].split("PartitionFilters: [")[1].split("]")[0] and "2025-01-10" in plans[-1] or "20098" in plans[-1]
+
+
 def test_sorted_predictions_and_metrics(spark, tmp_path):
     df = spark.createDataFrame([("b", "2"), ("a", "2"), ("b", "1"), ("a", "1")], "series_id string, obs_date string")
     tables.write_predictions(df, str(tmp_path / "p"))
