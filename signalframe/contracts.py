@@ -71,9 +71,9 @@ def select_features(df: DataFrame, spec) -> DataFrame:
 def gold_violations(df: DataFrame) -> DataFrame:
     """Rows that break the wide-table contract, with the kind of violation."""
     require_columns(df, ["series_id", "obs_date", "value", "prev_value"])
+    # Rows without an id are violations already; in the window they would all be one group.
+    unnamed = df.filter(F.col("series_id").isNull()).withColumn("kind", F.lit("null_series_id"))
     before = F.lag("value").over(by_series())
-    kind = (
-        F.when(F.col("series_id").isNull(), "null_series_id")
-        .when(before.isNotNull() & ~F.col("prev_value").eqNullSafe(before), "prev_value_mismatch")
-    )
-    return df.withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    kind = F.when(before.isNotNull() & ~F.col("prev_value").eqNullSafe(before), "prev_value_mismatch")
+    named = df.filter(F.col("series_id").isNotNull()).withColumn("kind", kind).filter(F.col("kind").isNotNull())
+    return named.unionByName(unnamed)

@@ -33,25 +33,32 @@ IMPORTANCE = "series_id string, feature string, importance double"
 
 
 def fold_table(features: DataFrame, min_train: int = MIN_TRAIN, cal_rows: int = CAL_ROWS, embargo: int = 0) -> DataFrame:
-    """Sizes and training end of every monthly fold, from counts per (series, month).
+    """Sizes and training end (date of the last training row) of every monthly fold.
 
-    ``embargo`` leaves out that many rows before the test month, whose labels reach into it.
+    ``embargo`` leaves out that many rows before the test month, whose labels reach into it. Sizes come from
+    counts per (series, month); the training end is looked up by the row's number.
     """
     months = features.groupBy("series_id", month_of(F.col("obs_date")).alias("test_month")).agg(
-        F.count(F.lit(1)).alias("n_test"), F.min("obs_date").alias("_first")
+        F.count(F.lit(1)).alias("n_test")
+    )
+    placed = features.select(
+        "series_id",
+        F.col("obs_date").alias("train_end"),
+        F.row_number().over(Window.partitionBy("series_id").orderBy("obs_date")).cast("long").alias("n_train"),
     )
     earlier = Window.partitionBy("series_id").orderBy("test_month").rowsBetween(Window.unboundedPreceding, -1)
     n_train = F.coalesce(F.sum("n_test").over(earlier), F.lit(0)) - embargo
     return (
         months.withColumn("n_train", n_train)
         .filter(F.col("n_train") >= min_train)
+        .join(placed, ["series_id", "n_train"])
         .select(
             "series_id",
             "test_month",
             "n_train",
             F.least("n_train", F.lit(cal_rows)).alias("n_cal"),
             "n_test",
-            F.date_sub("_first", 1).alias("train_end"),
+            "train_end",
         )
     )
 
@@ -118,7 +125,7 @@ def walk_forward(
                         "p_up": p,
                         "y_pred": (p >= 0.5).astype("int32"),
                         "test_month": _months(block),
-                        "train_end": block.iloc[0] - pd.Timedelta(days=1).to_pytimedelta(),
+                        "train_end": days.iloc[end - 1],
                         "n_train": end,
                         "n_test": stop - start,
                     }

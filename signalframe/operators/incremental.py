@@ -93,32 +93,47 @@ def after_watermark(landed: DataFrame, marks: DataFrame, ingest: str = "ingested
     )
 
 
-def final_state(changes: DataFrame, key: str, at: str, is_delete: Column, spread_by: str) -> DataFrame:
-    """Replay an upsert/delete log: live keys with their first upsert since the last delete.
+def final_state(
+    changes: DataFrame,
+    key: str,
+    at: str,
+    is_delete: Column,
+    spread_by: str,
+    settings: tuple[str, ...] = (),
+    first: tuple[str, ...] = (),
+) -> DataFrame:
+    """Replay an upsert/delete log: live keys with their first and last upsert since the last delete.
+
+    ``spread_by`` is the event id: changes of one time follow each other by it. ``settings`` are taken
+    from the last upsert, ``first`` (a token, say) from the first one since the last delete.
 
     One map-side-combined pass finds each key's last delete. The log is then joined to it with
     salted keys, so that a key holding much of the log is read by several tasks, and the
     surviving upserts are combined again.
     """
-    ended = changes.groupBy(key).agg(F.max(F.when(is_delete, F.col(at))).alias("_ended"))
+    when = F.struct(at, spread_by)
+    ended = changes.groupBy(key).agg(F.max(F.when(is_delete, when)).alias("_ended"))
     upserts = changes.filter(~is_delete)
-    alive = salted_join(upserts, ended, [key], spread_by).filter(
-        F.col("_ended").isNull() | (F.col(at) > F.col("_ended"))
+    alive = salted_join(upserts, ended, [key], spread_by).filter(F.col("_ended").isNull() | (when > F.col("_ended")))
+    return alive.groupBy(key).agg(
+        F.min(at).alias("created_at"),
+        F.max(at).alias("updated_at"),
+        *[F.max_by(c, when).alias(c) for c in settings],
+        *[F.min_by(c, when).alias(f"first_{c}") for c in first],
     )
-    return alive.groupBy(key).agg(F.min(at).alias("created_at"), F.max(at).alias("updated_at"))
 
 
-def soft_state(changes: DataFrame, key: str, at: str, is_delete: Column) -> DataFrame:
+def soft_state(changes: DataFrame, key: str, at: str, is_delete: Column, order: str) -> DataFrame:
     """As ``final_state`` where a delete only deactivates: every key ever upserted, with its status.
 
-    One map-side-combined aggregate. Deletes of unknown keys do nothing.
+    One map-side-combined aggregate. Deletes of unknown keys do nothing. ``order`` settles changes of one time.
     """
     return (
         changes.groupBy(key)
         .agg(
             F.min(F.when(~is_delete, F.col(at))).alias("created_at"),
             F.max(at).alias("updated_at"),
-            F.max_by(is_delete, F.col(at)).alias("_ended"),
+            F.max_by(is_delete, F.struct(at, order)).alias("_ended"),
         )
         .filter(F.col("created_at").isNotNull())
         .withColumn("status", F.when(F.col("_ended"), "inactive").otherwise("active"))

@@ -17,10 +17,9 @@ from signalframe.contracts import as_predictions, numeric_features, require_colu
 from signalframe.functions.dates import month_of
 from signalframe.functions.signals import decision
 from signalframe.operators.folds import MIN_TRAIN
-from signalframe.session import durable
+from signalframe.session import scratch_path
 
 TARGET = "direction_7d"
-ROWS_PER_TASK = 250_000
 
 
 @dataclass
@@ -88,7 +87,8 @@ def train_global(
     numeric = numeric or numeric_features(features, exclude=[target])
     if not numeric:
         raise ValueError("no numeric feature columns")
-    kept = features.select("series_id", target, *numeric).persist()
+    # Every iteration runs one task per partition: as many as the cluster has cores.
+    kept = features.select("series_id", target, *numeric).coalesce(features.sparkSession.sparkContext.defaultParallelism).persist()
     try:
         return _fit_global(kept, target, c, numeric, tol)
     finally:
@@ -115,9 +115,7 @@ def _fit_global(kept: DataFrame, target: str, c: float, numeric: list[str], tol:
             tol=tol,
         ),
     ]
-    # Every iteration runs one task per partition: no more of them than the rows are worth.
-    tasks = max(1, -(-n // ROWS_PER_TASK))
-    fitted = Pipeline(stages=stages).fit(kept.coalesce(tasks))
+    fitted = Pipeline(stages=stages).fit(kept)
     return GlobalModel(fitted, numeric, list(fitted.stages[0].labels), n)
 
 
@@ -158,18 +156,21 @@ def walk_forward_pooled(
     fit: Callable[[DataFrame], PipelineModel],
     min_train: int = MIN_TRAIN,
     target: str = TARGET,
-    months: list | None = None,
 ) -> DataFrame:
     """Monthly refits of one model over all series, each a distributed fit on a filtered frame.
 
-    The driver holds the list of test months only. ``months`` restricts the refits to given ones.
+    The rows are stored by month in the shared folder, so that each filter reads its months only. The
+    driver holds the list of months.
     """
-    base = durable(features.withColumn("_month", month_of(F.col("obs_date"))))
+    spark = features.sparkSession
+    path = scratch_path(spark, "by-month")
+    features.withColumn("_month", month_of(F.col("obs_date"))).repartition("_month").write.partitionBy("_month").parquet(path)
+    base = spark.read.parquet(path)
     counts = {r["_month"]: r["n"] for r in base.groupBy("_month").agg(F.count(F.lit(1)).alias("n")).collect()}
     out, seen = None, 0
     for month in sorted(counts):
         before, seen = seen, seen + counts[month]
-        if before < min_train or (months is not None and month not in months):
+        if before < min_train:
             continue
         model = fit(base.filter(F.col("_month") < F.lit(month)))
         p = vector_to_array("probability")[1]

@@ -118,7 +118,9 @@ GOLD_OK = ("success", "no_new_data", "no_new_records")
 BACKFILL_OK = ("success", "dry_run")
 
 
-def pending(keys: DataFrame, status: DataFrame, done: str = "success") -> DataFrame:
-    """Keys still to do: those whose newest state is not ``done``."""
+def pending(keys: DataFrame, status: DataFrame, done: str = "success", at: str | None = None) -> DataFrame:
+    """Keys still to do: those whose newest state by ``at`` is not ``done``; without ``at``, status has one row per key."""
+    if at is not None:
+        status = status.groupBy("series_id").agg(F.max_by("status", at).alias("status"))
     finished = status.filter(F.col("status") == done).select("series_id").distinct()
     return keys.join(finished, "series_id", "left_anti")

@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from signalframe.session import durable
+from signalframe.session import durable, task_slots
 
 
 def by_series(*extra: str) -> WindowSpec:
@@ -140,13 +140,14 @@ def exact_rank(df: DataFrame, order: list[Column], keys: tuple[str, ...] = (), n
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], spread_by: str, how: str = "inner", salts: int = 8
+    big: DataFrame, small: DataFrame, on: list[str], spread_by: str, how: str = "inner", salts: int | None = None
 ) -> DataFrame:
-    """Equi-join in which every key of ``big`` is spread over ``salts`` tasks.
+    """Equi-join in which every key of ``big`` is spread over ``salts`` tasks, by default as many as a shuffle has.
 
     ``small`` is repeated once per salt. No broadcast is asked for: adaptive execution still
     chooses one when the measured size of ``small`` allows it.
     """
+    salts = salts or task_slots(big.sparkSession)
     left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*on, "_salt"], how).drop("_salt")

@@ -325,6 +325,13 @@ def metrics_by_year(spark, folder):
     return rounded(metrics.by_year(preds.withColumn("p", p).withColumn("act", signals.side(p, T60)), worst=5))
 
 
+@query
+def metrics_by_year_all(spark, folder):
+    preds = fixtures.predictions(spark, folder)
+    p = F.col("p_up_logreg")
+    return rounded(metrics.by_year(preds.withColumn("p", p).withColumn("act", signals.side(p, T60))))
+
+
 @query
 def calibration_line(spark, folder):
     return rounded(metrics.calibration_line(_long(spark, folder)))
@@ -635,8 +642,11 @@ def run_summary(spark, folder):
 
 @query
 def resume_pending(spark, folder):
+    """Every series once succeeded; its newest state counts."""
     keys = quality.distinct_series(fixtures.observations(spark, folder))
-    return quality.pending(keys, _status(spark, folder))
+    newest = _status(spark, folder).select("series_id", "status", F.lit(2).alias("at"))
+    log = newest.unionByName(newest.select("series_id", F.lit("success").alias("status"), F.lit(1).alias("at")))
+    return quality.pending(keys, log, at="at")
 
 
 @query
@@ -689,14 +699,32 @@ def digest_rows(spark, folder):
 
 @query
 def subscription_state(spark, folder):
-    log = fixtures.table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
-    return incremental.final_state(log, "user_id", "ts", F.col("event_type") == "error", "event_id")
+    """Settings of the last upsert, token (event id) of the first one since the last delete."""
+    log = fixtures.table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value", "props")
+    gone = F.col("event_type") == "error"
+    return incremental.final_state(log, "user_id", "ts", gone, "event_id", ("value", "props"), ("event_id",))
+
+
+@query
+def subscription_verify(spark, folder):
+    """Requests with known tokens: of rows that are not verified yet, those that have not expired take them."""
+    token = F.md5(F.concat(F.lit("token"), F.col("id").cast("string")).cast("binary"))
+    stamp = lambda text: F.lit(text).cast("timestamp_ntz")
+    rows = fixtures.table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("id"),
+        F.when(F.col("c_acctbal") > 5000, stamp("2023-12-01 00:00:00")).alias("verified_at"),
+        F.lit(None).cast("timestamp_ntz").alias("updated_at"),
+        (stamp("2024-01-01 00:00:00") + F.make_dt_interval(F.col("c_nationkey").cast("int"))).alias("verification_expires_at"),
+    )
+    rows = rows.withColumn("verification_token", token)
+    asked = fixtures.table(spark, folder, "orders").select(F.col("o_custkey").alias("id")).select(token.alias("token"))
+    return incremental.verify(rows, asked, stamp("2024-01-10 00:00:00"))
 
 
 @query
 def subscription_status(spark, folder):
-    log = fixtures.table(spark, folder, "events").select("user_id", "ts", "event_type")
-    return incremental.soft_state(log, "user_id", "ts", F.col("event_type") == "error")
+    log = fixtures.table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type")
+    return incremental.soft_state(log, "user_id", "ts", F.col("event_type") == "error", "event_id")
 
 
 @query

@@ -34,7 +34,7 @@ OBSERVATIONS = """observations as (
   select concat('FX', l_returnflag, l_linestatus, 'XCAD') as series_id, cast(l_shipdate as date) as obs_date,
          cast(sum(cast(round(l_extendedprice * 100) as bigint)) as double)
            / cast(sum(cast(l_quantity as bigint)) as double) / 100 as value
-  from lineitem where isodow(l_shipdate) <= 5 group by 1, 2)"""
+  from lineitem group by 1, 2)"""
 
 
 def gold_ctes(source: str = "observations", name: str = "gold") -> str:
@@ -405,6 +405,11 @@ from (select *, count(*) over (partition by model) as total,
                   when p < 0.55e0 then '[0.45,0.55)' when p < 0.6e0 then '[0.55,0.60)'
                   when p < 1e0 then '[0.60,1.00]' end as bucket from m)
 where bucket is not null group by model, bucket"""),
+    "metrics_by_year_all": with_(*OBS_PRED, f"""a as (
+  select cast(year(obs_date) as integer) as year, y_true, p_up_logreg as p,
+         case when p_up_logreg >= 0.6e0 then 1 when p_up_logreg <= {low(0.6)} then -1 else 0 end as act from predictions)""",
+        acted("year"), select=f"""
+select year, n_acted, {r('coverage')}, {r('acc')}, {r('logloss')} from scores"""),
     "metrics_by_year": with_(*OBS_PRED, f"""a as (
   select cast(year(obs_date) as integer) as year, y_true, p_up_logreg as p,
          case when p_up_logreg >= 0.6e0 then 1 when p_up_logreg <= {low(0.6)} then -1 else 0 end as act from predictions)""",
@@ -473,7 +478,7 @@ select series_id, obs_date, n_acted, {r('case when n_acted >= 30 then acc end',
 select m.series_id, m.test_month, count(*) filter (f.obs_date < m.test_month) as n_train,
        least(count(*) filter (f.obs_date < m.test_month), 252) as n_cal,
        count(*) filter (date_trunc('month', f.obs_date) = m.test_month) as n_test,
-       cast(min(f.obs_date) filter (f.obs_date >= m.test_month) - 1 as date) as train_end
+       cast(max(f.obs_date) filter (f.obs_date < m.test_month) as date) as train_end
 from months m join features f on f.series_id = m.series_id and f.obs_date < m.test_month + interval 1 month
 group by m.series_id, m.test_month having count(*) filter (f.obs_date < m.test_month) >= 504"""),
     "silver_dedup": with_(SILVER_EVENTS, DEDUP, select=f"""
@@ -549,9 +554,22 @@ select run_date, id, series_id, concat(substr(series_id, 3, 3), '/', substr(seri
        printf('%.1f%%', p_up_logreg * 100) as probability, strftime(run_date, '%B %d, %Y') as run_date_text
 from wanted join newest using (series_id)"""),
     "subscription_state": """
-with ended as (select user_id, max(ts) filter (event_type = 'error') as e from events group by 1)
-select user_id, min(ts) as created_at, max(ts) as updated_at from events join ended using (user_id)
-where event_type <> 'error' and (e is null or ts > e) group by 1""",
+with placed as (select *, row_number() over (partition by user_id order by ts, event_id) as n from events),
+ended as (select user_id, coalesce(max(n) filter (event_type = 'error'), 0) as e from placed group by 1)
+select user_id, min(ts) as created_at, max(ts) as updated_at, max_by(value, n) as value, max_by(props, n) as props,
+       min_by(event_id, n) as first_event_id
+from placed join ended using (user_id) where event_type <> 'error' and n > e group by 1""",
+    "subscription_verify": """
+with s as (
+  select c_custkey as id, md5(concat('token', c_custkey)) as token,
+         cast(timestamp '2024-01-01 00:00:00' + to_days(cast(c_nationkey as integer)) as timestamp) as expires,
+         case when c_acctbal > 5000 then timestamp '2023-12-01 00:00:00' end as verified_at from customer),
+j as (
+  select s.*, s.id in (select o_custkey from orders) and expires >= timestamp '2024-01-10 00:00:00' and verified_at is null as takes from s)
+select id, case when takes then timestamp '2024-01-10 00:00:00' else verified_at end as verified_at,
+       case when takes then timestamp '2024-01-10 00:00:00' end as updated_at,
+       case when not takes then token end as verification_token, case when not takes then expires end as verification_expires_at
+from j""",
     "quota_windows": """
 select window_start, user_id, event_id, n, n <= 3 as allowed, greatest(3 - n, 0) as remaining,
        window_start + interval 1 day as reset_at
@@ -579,7 +597,7 @@ full join (select series_id, count(*) as rows, min(obs_date) as lo, max(obs_date
   using (series_id)"""),
     "subscription_status": """
 select user_id, min(ts) filter (event_type <> 'error') as created_at, max(ts) as updated_at,
-       case when max_by(event_type, ts) = 'error' then 'inactive' else 'active' end as status
+       case when list_last(list(event_type order by ts, event_id)) = 'error' then 'inactive' else 'active' end as status
 from events group by 1 having count(*) filter (event_type <> 'error') > 0""",
     "ingest_watermark": with_(SILVER_EVENTS, """marks as (
   select series_id, max(ingested_at) as mark from silver_events

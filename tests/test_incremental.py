@@ -95,6 +95,16 @@ def test_final_state_matches_a_replay(spark):
     assert {r["key"]: (r["created_at"], r["updated_at"]) for r in found.collect()} == state
 
 
+def test_changes_of_one_time_follow_their_ids(spark):
+    """An upsert at the time of a delete counts when its id comes later; settings are the last, the token the first."""
+    log = [(1, "a", 5, False, "x"), (2, "a", 9, True, None), (3, "a", 9, False, "y"), (4, "a", 10, False, "z"), (5, "b", 9, False, "x"), (6, "b", 9, True, None)]
+    df = spark.createDataFrame(log, "id int, key string, at int, gone boolean, setting string").repartition(4)
+    found = incremental.final_state(df, "key", "at", F.col("gone"), "id", ("setting",), ("id",)).collect()
+    assert [tuple(r) for r in found] == [("a", 9, 10, "z", 3)]
+    soft = {r["key"]: r["status"] for r in incremental.soft_state(df, "key", "at", F.col("gone"), "id").collect()}
+    assert soft == {"a": "active", "b": "inactive"}
+
+
 def test_verify(spark):
     now = dt.datetime(2024, 1, 10)
     data = [
@@ -120,3 +130,5 @@ def test_run_summary_and_pending(spark):
     assert not quality.run_summary(status, quality.GOLD_OK).first()["ok"]
     keys = spark.createDataFrame([("a",), ("b",), ("d",)], "series_id string")
     assert sorted(r[0] for r in quality.pending(keys, status).collect()) == ["b", "d"]
+    log = spark.createDataFrame([("a", "success", 1), ("a", "error", 2), ("b", "error", 1), ("b", "success", 2)], "series_id string, status string, at int")
+    assert sorted(r[0] for r in quality.pending(keys, log, at="at").collect()) == ["a", "d"]
