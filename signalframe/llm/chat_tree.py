@@ -57,7 +57,7 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
 
 
 def conversation_paths(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """One row per conversation: conv_id, tree, path (sort key), nodes (array of node, parent, depth, segment, length, position, loss)."""
+    """One row per conversation: conv_id, tree (its first node), nodes (array of node, parent, depth, segment, length, position, loss)."""
     rows = turns.select(
         F.col(conv_col).alias("conv_id"),
         F.struct(
@@ -71,7 +71,7 @@ def conversation_paths(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            trees, paths, nodes = [], [], []
+            trees, nodes = [], []
             for turns in batch.column(1).to_pylist():
                 own, parent, position = [], "", 0
                 for depth, t in enumerate(turns):
@@ -81,45 +81,49 @@ def conversation_paths(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
                     position += len(segment)
                     parent = name
                 trees.append(own[0]["node"])
-                paths.append("".join(n["node"][:16] for n in own))
                 nodes.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees), pa.array(paths), pa.array(nodes, pa.list_(node))], names=["conv_id", "tree", "path", "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(trees, pa.string()), pa.array(nodes, pa.list_(node))], names=["conv_id", "tree", "nodes"])
 
     kind = dict(turns.dtypes)[conv_col]
     fields = "node:string,parent:string,depth:int,segment:string,length:bigint,position:bigint,loss:boolean"
-    return grouped.mapInArrow(run, f"conv_id {kind}, tree string, path string, nodes array<struct<{fields}>>")
+    return grouped.mapInArrow(run, f"conv_id {kind}, tree string, nodes array<struct<{fields}>>")
 
 
 def prefix_tree(turns: DataFrame, **columns: str) -> tuple[DataFrame, DataFrame]:
     """The emitted nodes, and the nodes of each conversation.
 
-    Nodes: tree, node, parent, depth, segment, loss, begin and end (place in the tree's sequence, in code points; order by
-    begin to get the sequence), position (id of the first code point). Visits: conv_id, depth, node, tree, rank, owner.
+    Nodes: tree, node, parent, depth, segment, loss, owner (rank of the conversation that brings it), begin and end (place in the
+    tree's sequence, in code points; order by begin to get the sequence), position (id of the first code point). Visits: conv_id,
+    tree, rank, depth, node.
 
     Turns are ordered by turn, role and text; null roles and texts count as empty; repeated rows are repeated turns;
     conversations with a null id are one conversation. An empty table gives empty results. Other columns are not read.
     """
     ship_package(turns.sparkSession)
     convs = durable(conversation_paths(turns, **columns))
-    order = [F.col("path"), F.col("conv_id").asc_nulls_last()]
-    ranked = exact_rank(convs.select("conv_id", "tree", "path"), order, ("tree",), "rank").select("conv_id", "tree", "rank")
-    same = F.col("c.conv_id").eqNullSafe(F.col("r.conv_id"))
-    visits = convs.alias("c").join(ranked.alias("r"), same).select("c.conv_id", "c.tree", "rank", F.explode("nodes").alias("n"))
-    visits = visits.select("conv_id", "tree", "rank", "n.*")
-    # Combined before the shuffle: one row per node and task.
-    nodes = visits.groupBy("node").agg(
-        F.min("rank").alias("owner"), *[F.first(c).alias(c) for c in ("tree", "parent", "depth", "segment", "length", "position", "loss")]
+    narrow = convs.select("conv_id", "tree", F.transform("nodes", lambda n: n["node"]).alias("path"), F.transform("nodes", lambda n: n["position"] + n["length"]).alias("ends"))
+    ranked = exact_rank(narrow, [F.col("path"), F.col("conv_id").asc_nulls_last()], ("tree",), "rank")
+    # In the order of paths, what a conversation shares with any before it, it shares with the one before it.
+    before = ranked.select("tree", (F.col("rank") + 1).alias("rank"), F.col("path").alias("_before"))
+    same = F.zip_with("path", F.coalesce("_before", F.array().cast("array<string>")), lambda a, b: F.coalesce(a == b, F.lit(False)))
+    shared = (F.array_position(F.concat(same, F.array(F.lit(False))), False) - 1).cast("int")
+    told = ranked.join(before, ["tree", "rank"], "left").withColumn("shared", shared)
+    told = told.withColumn("_skip", F.coalesce(F.get("ends", F.col("shared") - 1), F.lit(0))).select(
+        "conv_id", "tree", "rank", "shared", "_skip", (F.element_at("ends", -1) - F.col("_skip")).alias("_new")
     )
-    nodes = durable(nodes)
-    places = running_total(nodes.select("tree", "owner", "depth", "node", "length"), ("tree",), [F.col("owner"), F.col("depth")], "length", "end")
-    nodes = nodes.join(places.select("node", "end", (F.col("end") - F.col("length")).alias("begin")), "node")
-    owners = nodes.select("node", "owner", "begin", "end")
-    return nodes.drop("length"), visits.select("conv_id", "tree", "rank", "depth", "node").join(owners, "node")
+    places = durable(running_total(told, ("tree",), [F.col("rank")], "_new", "_to").drop("tree"))
+    placed = convs.alias("c").join(places.alias("p"), F.col("c.conv_id").eqNullSafe(F.col("p.conv_id"))).drop(F.col("p.conv_id"))
+    nodes = placed.select("tree", "rank", "_to", "_new", "_skip", F.explode(F.slice("nodes", F.col("shared") + 1, F.size("nodes"))).alias("n"))
+    begin = F.col("_to") - F.col("_new") - F.col("_skip") + F.col("n.position")
+    nodes = nodes.select("tree", "n.*", F.col("rank").alias("owner"), begin.alias("begin"), (begin + F.col("n.length")).alias("end")).drop("length")
+    visits = placed.select("conv_id", "tree", "rank", F.explode(F.transform("nodes", lambda n: F.struct(n["depth"].alias("depth"), n["node"].alias("node")))).alias("n"))
+    return nodes, visits.select("conv_id", "tree", "rank", "n.*")
 
 
-def attention(visits: DataFrame) -> DataFrame:
+def attention(nodes: DataFrame, visits: DataFrame) -> DataFrame:
     """node, ancestors: the merged intervals [begin, end) of the tree's sequence before each node on its path."""
-    places = visits.groupBy("conv_id", "tree", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "begin", "end", "owner"))).alias("path"))
+    found = visits.join(nodes.select("node", "owner", "begin", "end"), "node")
+    places = found.groupBy("conv_id", "tree", "rank").agg(F.sort_array(F.collect_list(F.struct("depth", "node", "begin", "end", "owner"))).alias("path"))
     kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

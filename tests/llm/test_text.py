@@ -74,7 +74,7 @@ def test_empty_tables(none, spark):
     assert pseudonymise(none, b"k").count() == 0
     assert scan_licenses(none).count() == 0
     nodes, visits = chat_tree.prefix_tree(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
-    assert nodes.count() == visits.count() == chat_tree.attention(visits).count() == 0
+    assert nodes.count() == visits.count() == chat_tree.attention(nodes, visits).count() == 0
 
 
 def test_language_held_out(spark):
@@ -183,7 +183,7 @@ def test_chat_tree_shares_and_attends(spark):
         assert len(trees[n.tree]) == n.begin  # without gaps, in order
         trees[n.tree] += n.segment
     by = {n.node: n for n in emitted}
-    spans = {r.node: r.ancestors for r in chat_tree.attention(visits).collect()}
+    spans = {r.node: r.ancestors for r in chat_tree.attention(nodes, visits).collect()}
     assert set(spans) == set(by)
     for n in emitted:
         before, up = "", n
