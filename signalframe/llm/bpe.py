@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import table
+from signalframe.llm.common import table, worker_state
 from signalframe.session import ship_package
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers; at more it forgets all and goes on. Bounds memory, changes no result.
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 OUTPUTS = {
     "n_tokens": "long", "ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string",
 }
@@ -151,16 +151,9 @@ class Vocabulary:
             yield " ".join([x[0] for x in found]), " ".join([x[1] for x in found])
 
 
-#: One vocabulary per worker process, kept over its tasks.
-LOADED: dict[str, Vocabulary] = {}
-
-
 def loaded(text: str) -> Vocabulary:
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in LOADED:
-        LOADED.clear()
-        LOADED[key] = Vocabulary(text)
-    return LOADED[key]
+    """One vocabulary per worker process, kept over its tasks."""
+    return worker_state(f"bpe {hashlib.sha256(text.encode()).hexdigest()}", lambda: Vocabulary(text))
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:

@@ -7,12 +7,29 @@ brought back to its rows by an ordinary join, whatever the partitioning of the t
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from signalframe.session import durable
 
 
+#: What this worker process remembers between tasks, by name; one entry at most.
+_STATE: dict[str, object] = {}
+
+
+def worker_state(name: str, make: Callable[[], object]):
+    """What a worker process keeps over its tasks: made once per ``name``, and let go when another name asks.
+
+    Workers outlive operators; without the second rule each operator of a pipeline would add its memory.
+    """
+    if name not in _STATE:
+        _STATE.clear()
+        _STATE[name] = make()
+    return _STATE[name]
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from signalframe.llm.common import row_hash, table
+from signalframe.llm.common import row_hash, table, worker_state
 from signalframe.session import ship_package
 
 DOCS, LETTERS = 250, 3000
@@ -32,7 +32,7 @@ SEQUENCE, RUN, PASSES, RIDGE = 48, 12, 40, 0.02
 #: A word is in the lexicon of a language that has at least this share of its (three or more) occurrences.
 LEXICON_SHARE, LEXICON_COUNT = 0.8, 3
 #: Words a worker remembers; at more it forgets all and goes on. Bounds memory, changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 #: Words labelled at a time, bounds memory.
 WORDS = 1 << 18
 UNDETERMINED = "und"
@@ -199,16 +199,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(sorted((r[0], r[1]) for r in sample.select("_lang", "_t").collect()))
 
 
-#: Words and scores that a worker process keeps for its model.
-KEPT: dict[str, tuple[dict[str, int], list[np.ndarray]]] = {}
-
-
 def rows_of(model: Model, texts: list[list[str]]) -> tuple[list[np.ndarray], np.ndarray]:
     """Score rows of the words of each text, and the scores."""
-    if model.name not in KEPT:
-        KEPT.clear()
-        KEPT[model.name] = {}, [np.zeros((0, len(model.languages)), np.float32)]
-    known, scores = KEPT[model.name]
+    known, scores = worker_state(f"crf {model.name}", lambda: ({}, [np.zeros((0, len(model.languages)), np.float32)]))
     new = [w for w in dict.fromkeys(w for words in texts for w in words) if w not in known]
     if len(known) + len(new) > REMEMBERED:
         known.clear()
@@ -242,10 +235,17 @@ def identify(
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
     whole = "spans" in outputs
 
+    # The text is sent once: as one of the columns kept, or behind them.
+    kept = [c for c in keep if c != "doc_id"]
+    names = ["doc_id", *kept]
+    at = names.index(text_col) if text_col in kept else len(names)
+    rows = docs.select(F.col(id_col).alias("doc_id"), *kept, *([] if text_col in kept else [F.col(text_col).alias("_text")]))
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(names)]] + [f"{o} {types[o]}" for o in outputs])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            texts = batch.column(0)
+            texts = batch.column(at)
             sizes = np.array([len(t.as_py() or "") for t in texts])
             result = [(UNDETERMINED, 0.0, [])] * batch.num_rows
             order = np.argsort(-sizes, kind="stable")
@@ -269,10 +269,10 @@ def identify(
                         spans = [{"first": int(a), "end": int(b), "lang": model.languages[labels[a]]} for a, b in zip(edge[:-1], edge[1:], strict=True)]
                     result[i] = model.languages[best], float(min(m[best], 1.0)), spans
             made = {"lang_pred": pa.array([r[0] for r in result]), "score": pa.array([r[1] for r in result]), "spans": pa.array([r[2] for r in result], span_type) if whole else None}
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(made[o] for o in outputs)], names=[*batch.schema.names[1:], *outputs])
+            whole_batch = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(made[o] for o in outputs)], names=[*names, *outputs])
+            for start in range(0, batch.num_rows, 512):  # small batches on the way back: texts may be long
+                yield whole_batch.slice(start, 512)
 
-    rows = docs.select(F.col(text_col).alias("_text"), F.col(id_col).alias("doc_id"), *[c for c in keep if c != "doc_id"])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:]] + [f"{o} {types[o]}" for o in outputs])
     return rows.mapInArrow(run, schema)
 
 

@@ -106,8 +106,13 @@ def luhn(digits: str) -> int:
     return sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, reversed(digits)))) % 10
 
 
+#: After so many attempts a format counts as used up and the replacement gets a character more.
+GROW = 6
+
+
 def surrogate(key: bytes, kind: str, name: str, attempt: int = 0) -> str:
     """The canonical form of the replacement of an entity's canonical form ``name``."""
+    more = attempt // GROW
 
     def numbers(*what: object) -> Iterator[int]:
         seed = repr((kind, *what)).encode()
@@ -133,17 +138,17 @@ def surrogate(key: bytes, kind: str, name: str, attempt: int = 0) -> str:
             host = alike(domain.removesuffix("example.com"), numbers("domain", domain)) + "example.com"
         else:
             host = alike(domain.rpartition(".")[0], numbers("domain", domain)) + ".example"
-        return f"{alike(local, source)}@{host}"
+        return f"{alike(local + 'a' * more, source)}@{host}"
     if kind == "ip":
         parts = name.split(".")
-        fixed = 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
+        fixed = 0 if more else 1 if parts[0] in ("10", "127") else 2 if parts[:2] == ["192", "168"] or parts[0] == "172" and 16 <= int(parts[1]) < 32 else 0
         rest = [str(1 + n % 254) for n, _ in zip(source, parts[fixed:], strict=False)]
         return ".".join(parts[:fixed] + rest)
     if kind == "card":
-        made = name[0] + alike(name[1:], source)
+        made = name[0] + alike(name[1:] + "0" * more, source)
         return made[:-1] + str((int(made[-1]) - luhn(made)) % 10) if luhn(name) == 0 else made
     if kind == "phone":
-        return name[0] + alike(name[1:], source)
+        return name[0] + alike(name[1:] + "0" * more, source)
     if kind == "iban":
         body = alike(name[4:], source)
         value = "".join(str(int(c, 36)) for c in body + name[:2] + "00")
@@ -152,7 +157,7 @@ def surrogate(key: bytes, kind: str, name: str, attempt: int = 0) -> str:
         return "".join(c if c in ":-" else ("0123456789ABCDEF" if name.upper() == name else "0123456789abcdef")[n % 16] for c, n in zip(name, source, strict=False))
     if kind == "secret":
         head = 4 if name.startswith("AKIA") else max(name.find("-"), name.find("_")) + 1
-        return name[:head] + alike(name[head:], source)
+        return name[:head] + alike(name[head:] + "a" * more, source)
     if kind.startswith("given_"):
         style, gender = script(name), kind[-1] if kind[-1] in "fm" else ""
         names = [x.casefold() for (g, s), own in GIVEN.items() if s == style and gender in ("", g) for x in own]
@@ -163,14 +168,14 @@ def surrogate(key: bytes, kind: str, name: str, attempt: int = 0) -> str:
     if kind == "last":
         parts = SYLLABLES[script(name)]
         return "".join(parts[n % len(parts)] for n, _ in zip(source, range(3 + attempt // 8), strict=False)) + ("н" if script(name) == "cyrillic" else "n")
-    return alike(name, source)
+    return alike(name + ("0" if kind == "ssn" else "a") * more, source)
 
 
 def render(kind: str, surface: str, made: str) -> str:
     """The replacement in the format and case of ``surface``."""
     if kind in _digit_kinds:
         digits = iter(made)
-        return "".join(next(digits) if c.isdigit() else c for c in surface)
+        return "".join(next(digits) if c.isdigit() else c for c in surface) + "".join(digits)
     if kind == "iban" and " " in surface:
         return " ".join(made[i : i + 4] for i in range(0, len(made), 4))
     if kind in ("email", "mac"):
