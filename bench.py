@@ -27,7 +27,7 @@ HEADLINE = [
     "policy_eval", "policy_sweep", "policy_by_regime", "balanced_topk", "rolling_policy_metrics", "walkforward_folds",
     "silver_dedup", "landing_audit", "latest_artifacts", "signal_history", "run_manifest", "digest_rows",
     "subscription_state", "quota_windows", "stream_quota", "walkforward_logreg", "walkforward_calibrated",
-    "fit_per_series", "fit_global",
+    "fit_per_series", "fit_global", "walkforward_daily", "walkforward_gbt", "stream_silver", "silver_upsert",
 ]
 
 

@@ -115,7 +115,6 @@ def run_summary(status: DataFrame, ok_states: tuple[str, ...], records: str = "r
 # States that count as a good run of each stage.
 SILVER_OK = ("success", "no_new_files")
 GOLD_OK = ("success", "no_new_data", "no_new_records")
-BACKFILL_OK = ("success", "dry_run")
 
 
 def pending(keys: DataFrame, status: DataFrame, done: str = "success", at: str | None = None) -> DataFrame:

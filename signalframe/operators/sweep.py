@@ -24,6 +24,7 @@ THRESHOLDS = (0.52, 0.54, 0.56, 0.58, 0.60, 0.62, 0.65, 0.70)
 COVERAGES = (0.05, 0.10, 0.15, 0.20, 0.30, 0.40)
 REGIME_THRESHOLDS = (0.56, 0.60, 0.65)
 
+# Names of the score columns.
 SCORES = [
     "n", "n_acted", "coverage", "acc", "logloss", "brier", "ece",
     "act_up_rate", "act_down_rate", "n_up_acted", "n_down_acted",

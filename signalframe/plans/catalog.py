@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,11 +27,12 @@ from signalframe.operators import (
     subscribers,
     sweep,
 )
-from signalframe.operators.windows import by_series, keep_latest
+from signalframe.operators.windows import by_series, exact_rank, keep_latest
 from signalframe.plans import fixtures
 from signalframe.schemas import BASELINE_FEATURES, H7_FEATURES
 from signalframe.session import durable, scratch_path
 from signalframe.sources import landing, tables
+from signalframe.sources import subscribers as subscriber_source
 from signalframe.streaming.quota import start_quota
 from signalframe.streaming.silver import start_silver
 
@@ -816,3 +817,84 @@ def walkforward_daily(spark, folder):
 @query
 def permutation_importance(spark, folder):
     return folds.tree_importance(_features(spark, folder), H7_FEATURES)
+
+
+# --- sinks read back, order, bounds of fits -----------------------------------------------------
+
+
+@query
+def predictions_sink(spark, folder):
+    """The written predictions with their place in the sink: file by file, row by row."""
+    path = scratch_path(spark, "predictions")
+    tables.write_predictions(_contract(spark, folder), path)
+    rows = spark.read.parquet(path).select("series_id", "obs_date", "_metadata.file_name", "_metadata.row_index")
+    placed = exact_rank(rows, [F.col("file_name"), F.col("row_index")], (), "position")
+    return placed.select("position", "obs_date", "series_id")
+
+
+@query
+def features_sink(spark, folder):
+    path = scratch_path(spark, "features")
+    tables.write_sorted(_features(spark, folder), path, ["series_id", "obs_date"])
+    return quality.input_range(spark.read.parquet(path), ("series_id",))
+
+
+@query
+def metrics_sink(spark, folder):
+    """Yearly metrics as CSV with a header, read back."""
+    path = scratch_path(spark, "metrics")
+    tables.write_metrics(metrics_by_year_all(spark, folder), path)
+    rows = spark.read.schema("year int, n_acted long, coverage double, acc double, logloss double").option("header", True).csv(path)
+    return rows.select("year", "n_acted")
+
+
+@query
+def metrics_sorted(spark, folder):
+    """Years by accuracy, nulls last, with their position; one row per year."""
+    placed = F.row_number().over(Window.orderBy(F.asc_nulls_last("acc"), "year"))
+    return metrics_by_year_all(spark, folder).select("year", "acc", placed.alias("position"))
+
+
+@query
+def coerce_columns(spark, folder):
+    """A text column of numbers becomes a double, one with a single other value stays text."""
+    text = F.col("value").cast("string")
+    rows = fixtures.table(spark, folder, "events").select(
+        "event_id", text.alias("numbers"), F.when(F.col("event_id") % 2 == 0, text).otherwise("x").alias("mixed")
+    )
+    out = features.coerce_text(rows)
+    return out.select("event_id", F.typeof("numbers").alias("numbers_type"), F.typeof("mixed").alias("mixed_type"), "numbers")
+
+
+@query
+def subscriber_table(spark, folder):
+    return subscriber_source.read_table(spark, folder, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+
+
+@query
+def walkforward_bounds(spark, folder):
+    """Keys, labels and fold bounds of the walk-forward output."""
+    out = folds.walk_forward(_features(spark, folder), H7_FEATURES)
+    return out.select("series_id", "obs_date", "y_true", "test_month", "train_end", "n_train", "n_test")
+
+
+@query
+def walkforward_calibration_sizes(spark, folder):
+    out = folds.walk_forward_calibrated(_features(spark, folder), H7_FEATURES)
+    return out.select("series_id", "obs_date", "y_true", "test_month", "cal_size")
+
+
+@query
+def fit_per_series_sizes(spark, folder):
+    weights = folds.fit_per_series(_features(spark, folder), H7_FEATURES, scale=True)
+    return weights.groupBy("series_id").agg(F.count(F.lit(1)).alias("terms"), F.max("n_rows").cast("long").alias("n_rows"))
+
+
+@query
+def score_global_actions(spark, folder):
+    """Every labelled row is scored, and its action follows from its probability."""
+    rows = durable(_features(spark, folder))
+    scored = models.score_global(models.train_global(rows), rows, T60)
+    p = F.col("p_up_logreg")
+    action = F.when(p >= T60, "UP").when(p <= 1 - T60, "DOWN").otherwise("SIDEWAYS")
+    return scored.select("series_id", "obs_date", p.between(0.0, 1.0).alias("is_share"), (F.col("action_logreg") == action).alias("follows"))

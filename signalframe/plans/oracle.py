@@ -615,3 +615,32 @@ from recent where recency <= 365 group by series_id"""),
 select model, count(*) as n, {r("avg(case when y_true = 1 then -ln(q) else -ln(1 - q) end)", 'log_loss')}, {r(f'avg({SE})', 'brier')}
 from (select *, least(greatest(p, 1e-6), 1 - 1e-6) as q from m) group by model"""),
 }
+
+BOUNDS = (*FEATURES, """months as (
+  select distinct series_id, cast(date_trunc('month', obs_date) as date) as test_month from features), bounds as (
+  select m.series_id, m.test_month, count(*) filter (f.obs_date < m.test_month) as n_train,
+         count(*) filter (date_trunc('month', f.obs_date) = m.test_month) as n_test,
+         cast(max(f.obs_date) filter (f.obs_date < m.test_month) as date) as train_end
+  from months m join features f on f.series_id = m.series_id and f.obs_date < m.test_month + interval 1 month
+  group by m.series_id, m.test_month having count(*) filter (f.obs_date < m.test_month) >= 504)""")
+
+ORACLES |= {
+    "predictions_sink": with_(*OBS_PRED, select="""
+select row_number() over (order by obs_date, series_id) as position, obs_date, series_id from predictions"""),
+    "features_sink": with_(*FEATURES, select=f"select series_id, {ROW_RANGE} from features group by 1"),
+    "metrics_sink": f"select year, n_acted from ({ORACLES['metrics_by_year_all']}) t",
+    "metrics_sorted": f"""
+select year, acc, row_number() over (order by acc nulls last, year) as position from ({ORACLES['metrics_by_year_all']}) t""",
+    "coerce_columns": """
+select event_id, 'double' as numbers_type, 'string' as mixed_type, value as numbers from events""",
+    "subscriber_table": "select c_custkey, c_nationkey, c_acctbal from customer",
+    "walkforward_bounds": with_(*BOUNDS, select="""
+select f.series_id, f.obs_date, f.direction_7d as y_true, b.test_month, b.train_end, b.n_train, b.n_test
+from features f join bounds b on f.series_id = b.series_id and date_trunc('month', f.obs_date) = b.test_month"""),
+    "walkforward_calibration_sizes": with_(*BOUNDS, select="""
+select f.series_id, f.obs_date, f.direction_7d as y_true, b.test_month, least(b.n_train, 252) as cal_size
+from features f join bounds b on f.series_id = b.series_id and date_trunc('month', f.obs_date) = b.test_month"""),
+    "fit_per_series_sizes": with_(*FEATURES, select="""
+select series_id, 22 as terms, count(*) as n_rows from features group by 1"""),
+    "score_global_actions": with_(*FEATURES, select="select series_id, obs_date, true as is_share, true as follows from features"),
+}

@@ -33,7 +33,7 @@ H7_FEATURES = [
 ]
 H7_TARGETS = ["direction_7d", "fwd_return_7d"]
 
-# Inputs of the first research baselines.
+# Fixed names and order: inputs of the first research baselines, as stored models expect them.
 BASELINE_FEATURES = [
     "daily_return", "log_return", "return_5d", "return_21d",
     "lag_1d", "lag_2d", "lag_3d", "lag_5d", "lag_21d",
@@ -41,31 +41,13 @@ BASELINE_FEATURES = [
     "volatility_ratio", "day_of_week", "month", "is_month_end",
 ]
 
+# Fixed names and order of the prediction files that readers expect.
 PREDICTION_COLUMNS = ["obs_date", "series_id", "p_up_logreg", "action_logreg"]
 
-PREDICTIONS = T.StructType([
-    T.StructField("obs_date", T.DateType()),
-    T.StructField("series_id", T.StringType()),
-    T.StructField("p_up_logreg", T.DoubleType()),
-    T.StructField("action_logreg", T.StringType()),
-])
-
-SILVER = T.StructType([
-    T.StructField("obs_date", T.DateType()),
-    T.StructField("series_id", T.StringType()),
-    T.StructField("value", T.DoubleType()),
-    T.StructField("base_currency", T.StringType()),
-    T.StructField("quote_currency", T.StringType()),
-    T.StructField("source", T.StringType()),
-    T.StructField("ingested_at", T.TimestampType()),
-    T.StructField("run_id", T.StringType()),
-    T.StructField("raw_path", T.StringType()),
-])
-
 # One landed payload: observations whose value key carries the series name.
 PAYLOAD = "observations array<map<string,string>>"
 
-# Sidecar document of one payload.
+# Sidecar document of one payload. Fixed names: they are the keys of the documents that lie in the landing zone.
 PAYLOAD_META = T.StructType([
     T.StructField("source", T.StringType()),
     T.StructField("series_id", T.StringType()),

@@ -12,7 +12,8 @@ from signalframe.plans.catalog import QUERIES
 # Queries whose building writes tables or fits models.
 EAGER = {
     "stream_silver", "stream_quota", "silver_upsert", "bronze_scan", "publish_run", "gold_scan", "gold_scan_rejects",
-    "fit_global", "score_global", "score_per_series",
+    "fit_global", "score_global", "score_per_series", "score_global_actions",
+    "predictions_sink", "features_sink", "metrics_sink", "coerce_columns",
 }
 
 
