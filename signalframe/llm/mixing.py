@@ -2,9 +2,9 @@
 
 Within a source every document expects the same number of copies, ``target / source_size``. Documents
 are put in a fixed order, expected copies are summed up along it, one random offset is added per source, and a
-document is emitted once for each whole number that its stretch of the sum crosses. The order is by
-size, so that every stretch of neighbours carries its share of words and the words taken stay within
-about one document of the target.
+document is emitted once for each whole number that its stretch of the sum crosses. The order rises by size to the
+largest document and falls again: every stretch of neighbours carries its share of words, and what an offset
+gains on the way up it loses on the way down, so the words taken stay within about one document of the target.
 """
 
 from __future__ import annotations
@@ -29,14 +29,14 @@ def fraction(text: Column) -> Column:
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Per source its weight, target and size, from rows (source, size).
+    """Per source its weight, target, size and number of documents, from rows (source, size).
 
     All targets together are as large as all sources. A target above ``most`` times its source's size is
     cut to that, and the excess goes to the others by weight, until none is above. Sizes are combined
     before the shuffle, so what is sorted here has one row per source; each round of sharing sends
     two sums to the driver.
     """
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("documents"))
     named = sources.withColumn("_null", F.col("source").isNull())
     ranked = exact_rank(named, [F.col("_null"), F.col("source")], (), "_rank")
     dealt = F.element_at(F.array(*map(F.lit, weights)), F.pmod(F.col("_rank") - 1, F.lit(len(weights))).cast("int") + 1)
@@ -87,8 +87,11 @@ def mix_plan(
     keyed = lambda df: df.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_n", F.col("source").isNull())
     joined = salted_join(keyed(ranked), keyed(targets).drop("source"), ["_s", "_n"], "_k", salts=task_slots(spark))
     rate = F.col("target") / F.nullif(F.col("source_size"), F.lit(0))
+    # Ranks by size 1, 2, 3, ... stand in the middle, right of it, left of it, ...
+    middle = F.floor((F.col("documents") + 1) / 2)
+    place = middle + F.floor(F.col("_k") / 2) * F.when(F.col("_k") % 2 == 0, 1).otherwise(-1)
     upto = lambda k: F.floor(k * rate + F.col("_u"))
-    copies = F.coalesce(upto(F.col("_k")) - upto(F.col("_k") - 1), F.lit(0)).cast("long")
+    copies = F.coalesce(upto(place) - upto(place - 1), F.lit(0)).cast("long")
     return joined.withColumn("copies", copies).select(
         "doc_id", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_h"
     )
@@ -129,7 +132,7 @@ with d as (
   from documents
 ),
 s as (
-  select source, cast(sum(size) as bigint) as source_size,
+  select source, cast(sum(size) as bigint) as source_size, count(*) as documents,
          list_element([5, 2, 1], cast((row_number() over (order by source nulls last) - 1) % 3 + 1 as integer)) as weight
   from d group by source
 ),
@@ -144,14 +147,17 @@ l as (  -- the first source that is not full gives the level
   from o where (total - full_before) / weight_left <= 3 * source_size / weight
 ),
 t as (
-  select source, source_size, least(cast(3 * source_size as double), weight * level) as target,
+  select source, source_size, documents, least(cast(3 * source_size as double), weight * level) as target,
          cast(('0x' || substr(md5('7:' || coalesce(source, '')), 1, 8)) as bigint) / 4294967296.0 as u
   from s, l
 ),
-k as (
-  select d.doc_id, d.size, t.source_size, t.target, t.u, t.target / nullif(t.source_size, 0) as rate,
-         row_number() over (partition by d.source order by d.size desc, md5('7:' || d.doc_id), d.doc_id) as k
+r as (
+  select d.doc_id, d.size, t.source_size, t.target, t.u, t.documents, t.target / nullif(t.source_size, 0) as rate,
+         row_number() over (partition by d.source order by d.size desc, md5('7:' || d.doc_id), d.doc_id) as n
   from d join t on d.source is not distinct from t.source
+),
+k as (  -- the largest in the middle, the next ones right and left of it in turn
+  select *, (documents + 1) // 2 + (n // 2) * case when n % 2 = 0 then 1 else -1 end as k from r
 )
 select doc_id, size, source_size, target,
        cast(coalesce(floor(k * rate + u) - floor((k - 1) * rate + u), 0) as bigint) * size as taken
