@@ -4,7 +4,8 @@ Entities (mail and network addresses, phone, card, account and social numbers, s
 texts. Each gets a replacement of its own kind made from HMAC-SHA256 of a key: same length and punctuation, digits for
 digits, letters for letters of the same script and case, a valid check digit where there was one, a given name of the same gender. The
 replacement depends on the key and the entity's canonical form only, so an entity is renamed alike in every
-document and spelling (coreference).
+document and spelling (coreference). Names begin with a title or a listed given name; once a text has such a name, all further
+mentions of its words in that text are replaced too. Names without either are not found.
 
 Collision checks run on the table of different entities: of those that would get the same replacement, or one that is itself an
 entity of the corpus, all but the first try again until none collide (distinctness).
@@ -44,7 +45,12 @@ SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ka ke ko la le lo ma
 GENDER = {name: g for (g, _), names in GIVEN.items() for name in names}
 TITLE = {t: g for g, titles in TITLES.items() for t in titles}
 _word = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
-NAME = re.compile(rf"(?<!\w)(?:(?P<title>{'|'.join(TITLE)})\.?[ \t]+(?P<rest>{_word}(?:[ \t]{_word}){{0,2}})|(?P<given>{'|'.join(GENDER)})[ \t]+(?P<last>{_word}))(?!\w)")
+#: What a name begins with: titles, or a listed given name (or two, hyphenated) before another word.
+HEAD = re.compile(rf"(?<!\w)(?:(?:(?:{'|'.join(TITLE)})\.?[ \t]+)+|(?:{'|'.join(GENDER)})(?:-[^\W\d_]+)*(?=[ \t]))")
+_words = re.compile(_word)
+_letters = re.compile(r"[^\W\d_]+")
+#: Before the next word of a name; an initial has a full stop.
+_gap = re.compile(r"[ \t]+|(?<=\b[^\W\d_])\.[ \t]+")
 PATTERNS = {
     "email": r"[\w.%+-]+@[^\W_](?:[\w-]*[^\W_])?(?:\.[^\W_](?:[\w-]*[^\W_])?)*\.[^\W\d_]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|(?:sk|pk|ghp|gho|xox[bp])[-_][A-Za-z0-9_-]{16,}|[0-9a-fA-F]{32,})(?![A-Za-z0-9])",
@@ -91,28 +97,78 @@ def find_entities(text: str) -> list[tuple[int, int, str]]:
     """(begin, end, kind) of the entities of a text, in order, not overlapping."""
     kinds = tuple(k for k, needed in _needs if needed(text))
     found = [(m.start(), m.end(), m.lastgroup) for m in any_of(kinds).finditer(text)] if kinds else []
-    for m in NAME.finditer(text):
-        if m["given"]:
-            if m["last"][0].isupper():
-                found += [(m.start("given"), m.end("given"), f"given_{GENDER[m['given']]}"), (m.start("last"), m.end("last"), "last")]
-            continue
-        words, at = [], m.start("rest")
-        for w in m["rest"].split():
-            if not w[0].isupper():
-                break
-            at = text.index(w, at)
-            words.append((at, at + len(w)))
-            at += len(w)
-        if words:
-            gender = TITLE[m["title"]]
-            for a, b in words[:-1]:
-                found.append((a, b, f"given_{GENDER.get(text[a:b], gender)}"))
-            found.append((*words[-1], "last"))
+    found += names_in(text)
     found.sort()
     out: list[tuple[int, int, str]] = []
     for f in found:
         if not out or f[0] >= out[-1][1]:
             out.append(f)
+    return with_mentions(text, out)
+
+
+def name_word(text: str, at: int) -> int:
+    """End of the capitalised word at ``at``, without a possessive s; ``at`` if there is none."""
+    m = _words.match(text, at)
+    if not m or not m[0][0].isupper() or re.match(r"\w", text[m.end() : m.end() + 1]):
+        return at
+    return m.end() - 2 if len(m[0]) > 2 and m[0][-2:] in ("'s", "’s") else m.end()
+
+
+def names_in(text: str) -> list[tuple[int, int, str]]:
+    """(begin, end, kind) of the words of names: all capitalised words after titles, or a listed given name and those after it.
+
+    The last word is the surname; the others are given names, of the gender they are listed with, else of the title or first name.
+    """
+    found: list[tuple[int, int, str]] = []
+    m = HEAD.search(text)
+    while m:
+        head, at = m[0], m.end()
+        words = []
+        if head[-1] in " \t":
+            gender = next((TITLE[t] for t in re.findall(r"\w+", head) if TITLE[t]), "")
+        else:
+            gender = GENDER[head.partition("-")[0]]
+            words.append(m.span())
+            at = _gap.match(text, at).end()
+        while (end := name_word(text, at)) > at:
+            words.append((at, end))
+            gap = _gap.match(text, end)
+            if not gap:
+                break
+            at = gap.end()
+        if len(words) > (head[-1] not in " \t"):
+            found += [(a, b, f"given_{GENDER.get(text[a:b], gender)}") for a, b in words[:-1]]
+            found.append((*words[-1], "last"))
+        m = HEAD.search(text, max(m.end(), words[-1][1] if words else 0))
+    return found
+
+
+def with_mentions(text: str, entities: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
+    """The entities, and every other whole-word mention of their names in the text. A word has one kind throughout a text.
+
+    A word that is both given name and surname is what the list of given names says, and a surname if it is not listed.
+    """
+    kinds: dict[str, str] = {}
+    for a, b, kind in entities:
+        if kind == "last" or kind.startswith("given_"):
+            name = canonical(kind, text[a:b])
+            held = kinds.setdefault(name, kind)
+            if (held == "last") != (kind == "last"):
+                kinds[name] = "last" if name.title() not in GENDER else f"given_{GENDER[name.title()]}"
+    if not kinds:
+        return entities
+    out, after, begins = [], 0, [e[0] for e in entities] + [len(text)]
+    for n in range(len(begins)):
+        for m in _words.finditer(text, after, begins[n]):
+            whole = m[0].casefold() in kinds
+            for a, b in [m.span()] if whole else [p.span() for p in _letters.finditer(text, *m.span())]:
+                name = text[a:b].casefold()
+                alone = not re.match(r"\w", text[b : b + 1]) and not re.match(r"\w", text[a - 1 : a] if a else "")
+                if name in kinds and text[a].isupper() and alone:
+                    out.append((a, b, kinds[name]))
+        if n < len(entities):
+            a, after, kind = entities[n]
+            out.append((a, after, kinds.get(canonical(kind, text[a:after]), kind) if kind == "last" or kind.startswith("given_") else kind))
     return out
 
 

@@ -260,6 +260,33 @@ def test_left_out_kinds_match_nothing(parts):
     assert [(a, b) for a, b, _ in find_entities(text)] == wanted
 
 
+@pytest.mark.parametrize(
+    ("text", "names"),
+    [
+        ("Juan Garcia Lopez came", "Juan Garcia Lopez"),
+        ("Anna Maria Schmidt came. Anna said no, Maria too", "Anna Maria Schmidt Anna Maria"),
+        ("Frau Schmidt called. Schmidt's aunt, SCHMIDT and the schmidts", "Schmidt Schmidt SCHMIDT"),
+        ("Schmidt wrote to Herr Schmidt-Meyer and Mrs Schmidt", "Schmidt Schmidt-Meyer Schmidt"),
+        ("Mr Smith met Anna Schmidt. Prof. Dr. John F. Kennedy", "Smith Anna Schmidt John F Kennedy"),
+        ("Hans-Peter Braun Klein or Klein2, Braun_", "Hans-Peter Braun Klein"),
+        ("Señora Garcia knows Juan Garcia Lopez", "Garcia Juan Garcia Lopez"),
+        ("anna met Frank. Herr im Haus", ""),
+    ],
+)
+def test_whole_names_and_further_mentions(spark, text, names):
+    found = find_entities(text)
+    assert " ".join(text[a:b] for a, b, _ in found) == names
+    kinds = {(text[a:b].casefold(), k) for a, b, k in found}
+    assert len(kinds) == len({name for name, _ in kinds})  # one surrogate for each word
+
+
+def test_mentions_get_the_name_s_surrogate(spark):
+    x = "Anna Maria Schmidt (schmidt@corp.com) called. Schmidt said Anna would."
+    made = pseudonymise(spark.createDataFrame([(1, x)], "doc_id long, text string"), b"k").first()
+    first, middle, last, again, anna = re.fullmatch(r"(\S+) (\S+) (\S+) \(\S+@\S+\) called\. (\S+) said (\S+) would\.", made.text).groups()
+    assert (last, first) == (again, anna) and not {"Anna", "Maria", "Schmidt"} & {first, middle, last} and made.n_entities == 6
+
+
 def test_every_template_is_found():
     for spdx, text in license_scan.TEMPLATES:
         found = scan_text(f"foo bar baz.\n{text}\nqux thing")
