@@ -160,9 +160,10 @@ def scan_text(text: str) -> list[tuple[str, int, int, float, list[str]]]:
                 first, last, diff = difference(words, theirs)
                 telling = any(any(c.isdigit() for c in d) or set(re.split("[.-]", d[1:])) & TELLING for d in diff)
                 gain = len(theirs) - 3 * len(diff)
-                if not telling and len(diff) <= max(1, DIFFERENT * len(theirs)) and (best is None or gain > best[0]):
+                # What doesn't cover the license word has one of its own; it must not hide a notice before it.
+                if not telling and len(diff) <= max(1, DIFFERENT * len(theirs)) and (best is None or gain > best[0]) and begin + spans[first][0] <= cue.start() < begin + spans[last - 1][1]:
                     best = gain, (spdx, begin + spans[first][0], begin + spans[last - 1][1], saved, diff)
-        if best and best[1][2] > cue.start():
+        if best:
             found.append(best[1])
             done = best[1][2]
     return found

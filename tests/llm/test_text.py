@@ -295,6 +295,16 @@ def test_every_template_is_found():
     assert scan_text("the license of poets") == []
 
 
+def test_no_notice_hides_another():
+    apache = license_scan.TEMPLATES[1][1]
+    for text, wanted in [
+        ("All rights reserved.\nLicensed under the Apache License, Version 2.0.", ["all-rights-reserved", "Apache-2.0"]),
+        (f"Licensed under the MIT License.\n{'some words between ' * 20}\n{apache}", ["MIT", "Apache-2.0"]),
+        (f"Licensed under the MIT License.\n{apache}\nAll rights reserved.", ["MIT", "Apache-2.0", "all-rights-reserved"]),
+    ]:
+        assert [f[0] for f in scan_text(text)] == wanted
+
+
 def test_wording_differences_are_reported():
     changed = dict(license_scan.TEMPLATES[4:5])["MIT"].replace("substantial portions", "large portions").replace("  ", " ")
     (found,) = scan_text(changed)
