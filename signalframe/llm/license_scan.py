@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 Blocks around license words are compressed alone and once more with each template as a raw zstandard dictionary. The
-template that saves the largest share of the block is the candidate; close runners-up come next. A candidate
+template that saves the largest share of the block is the first candidate, the others come next. A candidate
 wins when the exact wording differences between its words and the block's are few, and none is in a word that
 tells licenses apart (names, version numbers). Row by row, without a shuffle.
 """
@@ -78,10 +78,8 @@ TEMPLATES: list[tuple[str, str]] = [
 TELLING = set("apache mit isc gnu general lesser affero public bsd clause mozilla mpl creative commons cc by nc sa nd attribution noncommercial sharealike cc0 gpl lgpl agpl not no except".split())
 #: A winner differs in at most this share of its template's words (one word at least).
 DIFFERENT = 0.15
-#: Words of a block before and after its license words.
+#: Words of a block before and after its license words, besides those of the templates.
 AROUND = 8
-#: The best so many templates are compared word by word.
-COMPARED = 6
 
 _cue = re.compile(r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|permission to use|rights reserved|free software|\bspdx\b|public domain|creative commons|mozilla")
 _hints = ("licen", "opyright", "OPYRIGHT", "LICEN", "Licen", "ermission", "edistribut", "eserved", "ESERVED", "ree software", "SPDX", "ublic domain", "ommons", "ozilla")
@@ -97,6 +95,22 @@ def templates() -> list[tuple[str, str, list[str], zstandard.ZstdCompressor]]:
     return out
 
 
+@cache
+def reach() -> int:
+    """Words before a license word that a block needs: the most that any template has before one of its own, and AROUND more."""
+    return AROUND + max(len(_word.findall(text, 0, m.start())) for _, text, _, _ in templates() for m in _cue.finditer(text))
+
+
+def tells(word: str) -> bool:
+    return any(c.isdigit() for c in word) or not TELLING.isdisjoint(re.split("[.-]", word))
+
+
+@cache
+def needed() -> list[tuple[frozenset[str], frozenset[str], float]]:
+    """Of each template the words that rule it out when missing, all words, and how many differences it may have."""
+    return [(frozenset(filter(tells, words)), frozenset(words), max(1, DIFFERENT * len(words))) for _, _, words, _ in templates()]
+
+
 @cache
 def alone() -> zstandard.ZstdCompressor:
     return zstandard.ZstdCompressor(level=9, write_content_size=False)
@@ -108,8 +122,11 @@ def candidate_blocks(text: str, cue: int) -> list[tuple[int, int]]:
     Short notices drown in what surrounds them, so the line comes without words before it.
     """
     longest = max(len(t[2]) for t in templates())
-    # Looked for in so many characters before the cue; a first word that is cut there only adds to what surrounds a license.
-    before = [m.start() for m in _word.finditer(text, max(0, cue - 40 * AROUND), cue)][-AROUND:]
+    # Looked for in ever more characters before the cue, until there are enough words.
+    wide = 16 * reach()
+    while len(before := [m.start() for m in _word.finditer(text, max(0, cue - wide), cue)]) <= reach() and wide < cue:
+        wide *= 4
+    before = before[-reach() :]
     ends, end = [], cue
     for n, m in enumerate(_word.finditer(text, cue), 1):
         end = m.end()
@@ -117,10 +134,10 @@ def candidate_blocks(text: str, cue: int) -> list[tuple[int, int]]:
             ends.append(end)
         if n >= longest + AROUND:
             break
-    begin = before[0] if before else cue
-    line = max(begin, text.rfind("\n", begin, cue) + 1)
+    begins = [before[-AROUND:][0], before[0]] if before else [cue]
+    line = max(begins[-1], text.rfind("\n", begins[-1], cue) + 1)
     stop = text.find("\n", cue, ends[0] if ends else end)
-    return list(dict.fromkeys([(line, stop if stop > 0 else (ends or [end])[0]), *((begin, e) for e in [*ends, end])]))
+    return list(dict.fromkeys([(line, stop if stop > 0 else (ends or [end])[0]), *((b, e) for b in begins for e in [*ends, end])]))
 
 
 def difference(ours: list[str], theirs: list[str]) -> tuple[int, int, list[str]]:
@@ -155,13 +172,16 @@ def scan_text(text: str) -> list[tuple[str, int, int, float, list[str]]]:
             data = block.lower().encode()
             size = len(alone().compress(data))
             ranked = sorted(((1 - len(t[3].compress(data)) / size, -n) for n, t in enumerate(templates())), reverse=True)
-            for saved, n in ranked[:COMPARED]:
+            present = set(words)
+            for saved, n in ranked:
+                telling, every, most = needed()[-n]
+                if not telling <= present or len(every - present) > most:
+                    continue  # the comparison would say the same
                 spdx, _, theirs, _ = templates()[-n]
                 first, last, diff = difference(words, theirs)
-                telling = any(any(c.isdigit() for c in d) or set(re.split("[.-]", d[1:])) & TELLING for d in diff)
                 gain = len(theirs) - 3 * len(diff)
                 # What doesn't cover the license word has one of its own; it must not hide a notice before it.
-                if not telling and len(diff) <= max(1, DIFFERENT * len(theirs)) and (best is None or gain > best[0]) and begin + spans[first][0] <= cue.start() < begin + spans[last - 1][1]:
+                if len(diff) <= most and not any(tells(d[1:]) for d in diff) and (best is None or gain > best[0]) and begin + spans[first][0] <= cue.start() < begin + spans[last - 1][1]:
                     best = gain, (spdx, begin + spans[first][0], begin + spans[last - 1][1], saved, diff)
         if best:
             found.append(best[1])

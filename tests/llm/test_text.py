@@ -305,6 +305,16 @@ def test_no_notice_hides_another():
         assert [f[0] for f in scan_text(text)] == wanted
 
 
+def test_words_before_the_first_license_word():
+    before = "foo bar baz.\n"
+    for spdx in ("CC0-1.0", "MPL-2.0"):
+        text = dict(license_scan.TEMPLATES)[spdx]
+        (found,) = scan_text(before + text)
+        assert found[:2] == (spdx, len(before)) and found[4] == []
+    (found,) = scan_text(before + dict(license_scan.TEMPLATES)["CC0-1.0"].replace("author", "writer"))
+    assert found[:2] == ("CC0-1.0", len(before)) and found[4] == ["-author", "+writer"]
+
+
 def test_wording_differences_are_reported():
     changed = dict(license_scan.TEMPLATES[4:5])["MIT"].replace("substantial portions", "large portions").replace("  ", " ")
     (found,) = scan_text(changed)
