@@ -56,6 +56,26 @@ TEMPLATES: list[tuple[str, str]] = [
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
         "the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    (
+        "LGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+        "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
@@ -66,6 +86,14 @@ TEMPLATES: list[tuple[str, str]] = [
         "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution.",
     ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are "
+        "met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its "
+        "contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
@@ -84,6 +112,35 @@ AROUND = 8
 _cue = re.compile(r"(?i)licen[sc]e|copyright|permission is hereby|redistribut|permission to use|rights reserved|free software|\bspdx\b|public domain|creative commons|mozilla")
 _hints = ("licen", "opyright", "OPYRIGHT", "LICEN", "Licen", "ermission", "edistribut", "eserved", "ESERVED", "ree software", "SPDX", "ublic domain", "ommons", "ozilla")
 _word = re.compile(r"\w+(?:[.-]\w+)*")
+_id = r"[A-Za-z0-9](?:[\w.+:-]*[\w+])?"
+#: An SPDX line names its licenses itself: ids joined by AND and OR; WITH is followed by an exception.
+_spdx = re.compile(rf"(?i:SPDX-License-Identifier):[ \t(]*{_id}(?:[ \t)]+(?:AND|OR|WITH)[ \t(]+{_id})*")
+_spdx_id = re.compile(rf"(?:[: \t(])(?!AND |OR |WITH )(?<!WITH )({_id})")
+_version = re.compile(r"(?i)\b(?:version|ver|v)[.:]?\s*$")
+
+
+def words_of(text: str, begin: int, end: int) -> tuple[list[tuple[int, int]], list[str]]:
+    """Places and lower-case words of a stretch; the number of a list item ends in a full stop, so that it isn't a version."""
+    spans, words = [], []
+    for m in _word.finditer(text, begin, end):
+        a, b = m.span()
+        word = m[0].lower()
+        if b - a < 3 and word.isdigit() and text[b : b + 1] in (".", ")") and text[b + 1 : b + 2].isspace():
+            before = text[max(0, a - 40) : a]
+            if re.search(r"(?:^|[.:;]|\n)[\s*#/;>(-]*$", before) and not _version.search(before):
+                word += "."
+        spans.append((a, b))
+        words.append(word)
+    return spans, words
+
+
+def spdx_line(text: str, line: re.Match[str]) -> list[tuple[str, int, int, float, list[str]]]:
+    """The licenses of an SPDX line; the first one's place begins with the line."""
+    raw = line[0].lower().encode()
+    own = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
+    saved = 1 - len(own.compress(raw)) / len(alone().compress(raw))
+    ids = [m for m in _spdx_id.finditer(text, line.start() + len("SPDX-License-Identifier"), line.end())]
+    return [(m[1], line.start() if n == 0 else m.start(1), m.end(1), saved, []) for n, m in enumerate(ids)]
 
 
 @cache
@@ -91,7 +148,7 @@ def templates() -> list[tuple[str, str, list[str], zstandard.ZstdCompressor]]:
     out = []
     for spdx, text in TEMPLATES:
         raw = zstandard.ZstdCompressionDict(text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        out.append((spdx, text, [w.lower() for w in _word.findall(text)], zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False)))
+        out.append((spdx, text, words_of(text, 0, len(text))[1], zstandard.ZstdCompressor(level=9, dict_data=raw, write_content_size=False)))
     return out
 
 
@@ -102,7 +159,7 @@ def reach() -> int:
 
 
 def tells(word: str) -> bool:
-    return any(c.isdigit() for c in word) or not TELLING.isdisjoint(re.split("[.-]", word))
+    return any(c.isdigit() for c in word) and word[-1] != "." or not TELLING.isdisjoint(re.split("[.-]", word))
 
 
 @cache
@@ -163,12 +220,16 @@ def scan_text(text: str) -> list[tuple[str, int, int, float, list[str]]]:
     for cue in _cue.finditer(text):
         if cue.start() < done:
             continue
+        line = _spdx.match(text, cue.start())
+        if line:
+            found += spdx_line(text, line)
+            done = line.end()
+            continue
         best = None
         for begin, end in candidate_blocks(text, cue.start()):
             begin = max(begin, done)
             block = text[begin:end]
-            spans = [m.span() for m in _word.finditer(block)]
-            words = [block[a:b].lower() for a, b in spans]
+            spans, words = words_of(text, begin, end)
             data = block.lower().encode()
             size = len(alone().compress(data))
             ranked = sorted(((1 - len(t[3].compress(data)) / size, -n) for n, t in enumerate(templates())), reverse=True)
@@ -181,8 +242,8 @@ def scan_text(text: str) -> list[tuple[str, int, int, float, list[str]]]:
                 first, last, diff = difference(words, theirs)
                 gain = len(theirs) - 3 * len(diff)
                 # What doesn't cover the license word has one of its own; it must not hide a notice before it.
-                if len(diff) <= most and not any(tells(d[1:]) for d in diff) and (best is None or gain > best[0]) and begin + spans[first][0] <= cue.start() < begin + spans[last - 1][1]:
-                    best = gain, (spdx, begin + spans[first][0], begin + spans[last - 1][1], saved, diff)
+                if len(diff) <= most and not any(tells(d[1:]) for d in diff) and (best is None or gain > best[0]) and spans[first][0] <= cue.start() < spans[last - 1][1]:
+                    best = gain, (spdx, spans[first][0], spans[last - 1][1], saved, diff)
         if best:
             found.append(best[1])
             done = best[1][2]

@@ -315,6 +315,24 @@ def test_words_before_the_first_license_word():
     assert found[:2] == ("CC0-1.0", len(before)) and found[4] == ["-author", "+writer"]
 
 
+def test_list_numbers_and_spdx_lines():
+    bsd2, bsd3 = (next(t for i, t in license_scan.TEMPLATES if i == b and len(t) > 99) for b in ("BSD-2-Clause", "BSD-3-Clause"))
+    for text, wanted in [
+        (bsd3, ["BSD-3-Clause"]),
+        (re.sub(r"\d\. ", "\n * ", bsd3), ["BSD-3-Clause"]),
+        (re.sub(r"(\d)\. ", r"\n  (\1) ", bsd3), ["BSD-3-Clause"]),
+        (re.sub(r"\d\. ", "\n- ", bsd2), ["BSD-2-Clause"]),
+        ("This work is licensed under the GNU General Public License, version\n3. ", ["GPL-3.0"]),
+        ("// SPDX-License-Identifier: MIT\nint x;", ["MIT"]),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) OR Zlib. */", ["GPL-2.0-only", "Zlib"]),
+        ("SPDX-License-Identifier: Apache-2.0\nAll rights reserved.", ["Apache-2.0", "all-rights-reserved"]),
+        ("see the SPDX-License-Identifier of MIT", []),
+    ]:
+        assert [f[0] for f in scan_text(text)] == wanted, text
+    line = "x SPDX-License-Identifier: MIT OR Apache-2.0"
+    assert [line[b:e] for _, b, e, _, _ in scan_text(line)] == ["SPDX-License-Identifier: MIT", "Apache-2.0"]
+
+
 def test_wording_differences_are_reported():
     changed = dict(license_scan.TEMPLATES[4:5])["MIT"].replace("substantial portions", "large portions").replace("  ", " ")
     (found,) = scan_text(changed)
