@@ -18,15 +18,21 @@ from signalframe.llm.mixing import mix
 from signalframe.llm.simhash import simhash_dedup
 from signalframe.session import scratch_path
 
-#: Documents whose language gets a lower mean probability than this are rejected, as are those without a letter.
+#: Documents whose words' labels have a lower mean probability than this are rejected, as are those without a letter.
 LEAST_SCORE = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is certain enough. The model is learned from this stage's own input."""
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    found = identify(docs, learn(docs), keep=tuple(kept))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE)).select(*kept)
+    """Documents whose words' languages are certain enough, be it one or several; all if there are no labels to learn from.
+
+    The model is learned from this stage's own input.
+    """
+    model = learn(docs)
+    if not model.languages:
+        return docs
+    kept = [c for c in docs.columns if c not in ("lang_pred", "certainty")]
+    found = identify(docs, model, outputs=("lang_pred", "certainty"), keep=tuple(kept))
+    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= LEAST_SCORE)).select(*kept)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

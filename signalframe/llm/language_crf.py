@@ -73,8 +73,8 @@ class Model:
         return scores
 
 
-def posteriors(model: Model, rows: np.ndarray, lengths: np.ndarray, scores: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-    """Mean probability per language of each sequence, and (``whole``) the probabilities of each word.
+def posteriors(model: Model, rows: np.ndarray, lengths: np.ndarray, scores: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of each sequence the mean probability per language and the mean of its words' largest, and (``whole``) the probabilities of each word.
 
     ``rows`` are score rows of all words, sequence after sequence. All sequences advance together, one word per
     step; longest first, so those still running are a prefix.
@@ -92,7 +92,7 @@ def posteriors(model: Model, rows: np.ndarray, lengths: np.ndarray, scores: np.n
         state = (state[:n] @ move if t else state[:n]) * emit[rows[starts[:n] + t]]
         state /= state.sum(1, keepdims=True)
         ahead[offset[t] : offset[t + 1]] = state
-    total = np.zeros((len(sizes), len(model.languages)))
+    total, certain = np.zeros((len(sizes), len(model.languages))), np.zeros(len(sizes))
     every = np.empty((len(rows), len(model.languages)), np.float32) if whole else None
     back = np.ones((len(sizes), len(model.languages)), np.float32)
     for t in range(len(alive) - 1, -1, -1):
@@ -104,11 +104,12 @@ def posteriors(model: Model, rows: np.ndarray, lengths: np.ndarray, scores: np.n
         found = ahead[offset[t] : offset[t + 1]] * back[:n]
         found /= found.sum(1, keepdims=True)
         total[:n] += found
+        certain[:n] += found.max(1)
         if whole:
             every[starts[:n] + t] = found
-    mean = np.empty_like(total)
-    mean[order] = total / sizes[:, None]
-    return mean, every
+    mean, certainty = np.empty_like(total), np.empty_like(certain)
+    mean[order], certainty[order] = total / sizes[:, None], certain / sizes
+    return mean, certainty, every
 
 
 def train(samples: list[tuple[str, str]], seed: int = 3) -> Model:
@@ -226,12 +227,13 @@ def identify(
     """doc_id, the columns ``keep`` (not named as an output), and ``outputs`` of every row, without a shuffle.
 
     lang_pred is ``und`` with score 0 for a text that is null or has no letter, or when nothing was learned; else the language
-    with the largest mean probability over all words, which is the score (ties: first by name). ``spans`` are maximal runs of words of one
+    with the largest mean probability over all words, which is the score (ties: first by name). ``certainty`` is the mean over the words of
+    the probability of each word's own most likely language, high for text in several languages, too. ``spans`` are maximal runs of words of one
     language: first word, end word, language. Repeated rows give repeated results; other columns are not read.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    types = {"lang_pred": "string", "score": "double", "spans": "array<struct<first:int,end:int,lang:string>>"}
+    types = {"lang_pred": "string", "score": "double", "certainty": "double", "spans": "array<struct<first:int,end:int,lang:string>>"}
     span_type = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
     whole = "spans" in outputs
 
@@ -247,7 +249,7 @@ def identify(
         for batch in batches:
             texts = batch.column(at)
             sizes = np.array([len(t.as_py() or "") for t in texts])
-            result = [(UNDETERMINED, 0.0, [])] * batch.num_rows
+            result = [(UNDETERMINED, 0.0, [], 0.0)] * batch.num_rows
             order = np.argsort(-sizes, kind="stable")
             # Texts of like length together, about WORDS words (of five letters and a space) at a time.
             cuts = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // (6 * WORDS))) + 1
@@ -257,9 +259,9 @@ def identify(
                 if not used:
                     continue
                 lengths = np.array([len(r) for _, r in used])
-                mean, every = posteriors(model, np.concatenate([r for _, r in used]), lengths, scores, whole)
+                mean, certainty, every = posteriors(model, np.concatenate([r for _, r in used]), lengths, scores, whole)
                 end = 0
-                for (i, r), m in zip(used, mean, strict=True):
+                for (i, r), m, c in zip(used, mean, certainty, strict=True):
                     best = int(m.argmax())
                     spans = []
                     if whole:
@@ -267,8 +269,8 @@ def identify(
                         end += len(r)
                         edge = np.r_[0, np.flatnonzero(np.diff(labels)) + 1, len(labels)]
                         spans = [{"first": int(a), "end": int(b), "lang": model.languages[labels[a]]} for a, b in zip(edge[:-1], edge[1:], strict=True)]
-                    result[i] = model.languages[best], float(min(m[best], 1.0)), spans
-            made = {"lang_pred": pa.array([r[0] for r in result]), "score": pa.array([r[1] for r in result]), "spans": pa.array([r[2] for r in result], span_type) if whole else None}
+                    result[i] = model.languages[best], float(min(m[best], 1.0)), spans, float(min(c, 1.0))
+            made = {"lang_pred": pa.array([r[0] for r in result]), "score": pa.array([r[1] for r in result]), "certainty": pa.array([r[3] for r in result]), "spans": pa.array([r[2] for r in result], span_type) if whole else None}
             whole_batch = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(made[o] for o in outputs)], names=[*names, *outputs])
             for start in range(0, batch.num_rows, 512):  # small batches on the way back: texts may be long
                 yield whole_batch.slice(start, 512)

@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from signalframe.llm import bottomk, chat_tree, license_scan, surrogates
 from signalframe.llm.bpe import Vocabulary, encode, vocabulary_path
 from signalframe.llm.language_crf import identify, learn, op5_language_id, train
@@ -104,6 +105,20 @@ def test_code_switched_words(spark):
     assert sum(a == b for a, b in zip(words, wanted, strict=True)) >= 0.8 * len(wanted)
 
 
+def test_pipeline_keeps_clean_mixed_texts(spark):
+    docs = documents(spark).select("doc_id", "text", "lang")
+    parts = {}
+    for r in docs.collect():
+        parts.setdefault(r.lang, re.findall(r"[^\W\d_]+", r.text)[:60])
+    a, b, c, *_ = (parts[lang] for lang in sorted(k for k in parts if k))
+    mixed = docs.unionByName(spark.createDataFrame([(-1, " ".join([*a[:45], *b[:35], *c[:20]]), None), (-2, "12 34 !", None)], docs.schema))
+    assert identify(mixed, learn(docs)).filter("doc_id = -1").first().score < corpus_pipeline.LEAST_SCORE
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, mixed, SF).collect()}
+    assert -1 in kept and -2 not in kept
+    unlabelled = mixed.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language(spark, unlabelled, SF).count() == unlabelled.count()
+
+
 def test_language_edge_cases(odd, plain_odd):
     rows = identify(odd, learn(odd)).collect()
     assert len(rows) == len(plain_odd)
