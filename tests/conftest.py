@@ -5,12 +5,11 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+sys.path[:0] = [os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.path.dirname(os.path.abspath(__file__))]
 
+from helpers import random_walks  # noqa: E402
 from signalframe.session import build_session  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
@@ -31,20 +30,3 @@ def spark(tmp_path_factory):
 def walk():
     """Seeded daily random walks: 2 series of 300 rows from 2024-01-01."""
     return random_walks(300, ("FXUSDCAD", "FXEURCAD"))
-
-
-def random_walks(n: int, series, start: str = "2024-01-01", freq: str = "D"):
-    import numpy as np
-    import pandas as pd
-
-    rng = np.random.default_rng(3)
-    parts = []
-    for s in series:
-        days = pd.date_range(start, periods=n, freq=freq).date
-        value = 1.3 * np.exp(np.cumsum(rng.normal(0, 0.005, n)))
-        parts.append(pd.DataFrame({"series_id": s, "obs_date": days, "value": value}))
-    return pd.concat(parts, ignore_index=True)
-
-
-def rows(df, *order):
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import random_walks
+from helpers import random_walks
 from signalframe import contracts
 from signalframe.functions import dates
 from signalframe.operators import features, quality

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import random_walks
+from helpers import random_walks
 from signalframe.operators import features, incremental, quality
 
 

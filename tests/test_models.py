@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import random_walks
+from helpers import random_walks
 from signalframe.operators import baselines, features, folds, models, solvers
 from signalframe.schemas import H7_FEATURES
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF
+from helpers import SF
 from signalframe.plans import fixtures
 from signalframe.plans.catalog import QUERIES
 

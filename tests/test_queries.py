@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 import __spark_entry__ as driver
-from conftest import SF
+from helpers import SF
 from tools.check_oracle import compare, connect
 
 ORACLES = driver.oracle_sql()
