@@ -9,6 +9,7 @@ from signalframe.llm.chat_tree import OP3_SQL, op3_chat_tree
 from signalframe.llm.exact_dedup import OP10_SQL, op10_exact_dedup
 from signalframe.llm.language_crf import op5_language_id
 from signalframe.llm.license_scan import op8_license_scan
+from signalframe.llm.merkle import OP12_SQL, op12_merkle_manifest
 from signalframe.llm.mixing import OP9_SQL, op9_mix_sources
 from signalframe.llm.simhash import op2_simhash_dedup
 from signalframe.llm.substring_dedup import op7_substring_dedup
@@ -25,6 +26,7 @@ LLM_QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "pipeline": run,
 }
 
@@ -32,6 +34,7 @@ LLM_ORACLES = {
     "op3_chat_tree": OP3_SQL,
     "op9_mix_sources": OP9_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op12_merkle_manifest": OP12_SQL,
 }
 if ORACLE_SQL:
     LLM_ORACLES["pipeline"] = ORACLE_SQL
