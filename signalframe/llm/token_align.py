@@ -7,15 +7,17 @@ the bytes that they decode to, counted on from the last coarse cut. Offsets wher
 groups.
 
 Neither tokenizer merges over a space that follows a character other than white space, so a text falls into
-*units* there. A chunk of documents tokenizes each different unit once; what is counted over the corpus leaves the chunk as its
-different linked id pairs, and comes back to the chunk as one number per pair.
+*units* there. A worker tokenizes each different unit once and remembers it; what is counted over the corpus leaves a chunk of
+documents as its different linked id pairs, and comes back to the chunk as one number per pair.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,9 @@ from signalframe.session import durable, ship_package
 
 BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text handled at a time, and characters tokenized at a time.
-CHUNK, BATCH = 8 << 20, 1 << 16
+CHUNK, BATCH = 4 << 20, 1 << 16
+#: Different units that a worker keeps from chunk to chunk; beyond that it begins anew. Results do not depend on it.
+REMEMBERED = 800_000
 #: A unit goes on over a space only after white space (and after some characters that some tables take for it).
 _BLANK = "\\s\u180e\u200b\ufeff"
 _UNIT = re.compile(f" (?:[^ ]+|(?<=[{_BLANK}]) )*")
@@ -66,7 +70,8 @@ class Pair:
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("\u2581", " ").encode() for i, p in enumerate(pieces)]
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
-        self.names = [str(i) for i in range(max(len(self.a_bytes), len(self.b_bytes)))]
+        #: An id and what may follow it in a text of groups: id * 4 + 0 to 3.
+        self.names = [f"{i}{mark}" for i in range(max(len(self.a_bytes), len(self.b_bytes))) for mark in (",", "|", ";", "\n")]
         #: Whether texts may be cut into units: no piece of B goes over the start of a word.
         self.cuts = not any("\u2581" in p.lstrip("\u2581") for p in pieces)
         self.byte_spans = self.b.encode("\u00e9", return_type="proto").pieces[-1].end == 2
@@ -84,10 +89,10 @@ class Pair:
             at = np.concatenate([[0], np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))])
         found = self.a.encode(text, add_special_tokens=False)
         a = np.array(found.ids, np.int64)
-        a_cut = at[np.array(found.offsets, np.int64).reshape(-1, 2)[:, 1]]
+        a_cut = at[np.array([end for _, end in found.offsets], np.int64)]
         # B adds the first space itself, except to an empty text: the space after a text's last word is a piece of its own.
         pieces = [(p.id, p.end) for p in self.b.encode(text[1:], return_type="proto").pieces] or [(self.b.piece_to_id("\u2581"), 0)]
-        b, end = np.array(pieces, np.int64).reshape(-1, 2).T
+        b, end = np.array([i for i, _ in pieces], np.int64), np.array([e for _, e in pieces], np.int64)
         b_cut = end + 1 if self.byte_spans else at[np.minimum(end + 1, len(text))]
         if b"".join(map(self.a_bytes.__getitem__, a.tolist())) != raw or b"".join(map(self.b_bytes.__getitem__, b.tolist())) != raw:
             return None
@@ -107,8 +112,10 @@ class Links:
     """What some units say: per unit the numbers of tokens, groups and links, its groups' text, and its id pairs with repeats."""
 
     def __init__(self):
-        self.counts, self.texts = [], []  # (n_a, n_b, n_groups, n_links), None for a unit without tokens
-        self.sizes, self.codes, self.repeats = [], [], []  # pairs per unit; a << 32 | b; times
+        self.counts: list[np.ndarray] = []  # per batch one row per unit: n_a, n_b, n_groups, n_links, different pairs
+        self.texts: list[str | None] = []  # None for a unit without tokens
+        self.codes: list[np.ndarray] = []  # a << 32 | b
+        self.repeats: list[np.ndarray] = []
 
 
 def align(pair: Pair, units: list[str], out: Links) -> None:
@@ -116,39 +123,82 @@ def align(pair: Pair, units: list[str], out: Links) -> None:
     found = pair.spans("".join(units))
     if found:
         raw, a, a_end, b, b_end = found
-        cuts = np.intersect1d(a_end, b_end)
-        ends = np.cumsum([len(u.encode()) for u in units])
-    if not found or not np.isin(ends, cuts).all():
+        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes if len(raw) == sizes.sum() else np.fromiter((len(u.encode()) for u in units), np.int64, len(units)))
+        owner = np.searchsorted(ends, cuts)
+    if not found or not np.array_equal(cuts[np.minimum(np.searchsorted(cuts, ends), len(cuts) - 1)], ends):
         if len(units) == 1:
-            out.counts.append((0, 0, 0, 0)), out.texts.append(None), out.sizes.append(0)
+            out.counts.append(np.zeros((1, 5), np.int64)), out.texts.append(None)
             return
         align(pair, units[: len(units) // 2], out)
         align(pair, units[len(units) // 2 :], out)
         return
     ga, gb = np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end)
     na, nb = np.bincount(ga, minlength=len(cuts)), np.bincount(gb, minlength=len(cuts))
-    owner = np.searchsorted(ends, cuts)
-    total = lambda x: np.bincount(owner, x, len(units)).astype(np.int64)
-    counts = np.stack([total(na), total(nb), total(np.ones(len(cuts))), total(na * nb)], 1)
-    out.counts += map(tuple, counts.tolist())
-    # Groups as text.
-    an, bn = [pair.names[i] for i in a.tolist()], [pair.names[i] for i in b.tolist()]
-    sa, sb = [0, *np.cumsum(na).tolist()], [0, *np.cumsum(nb).tolist()]
-    texts = [f"{','.join(an[sa[g] : sa[g + 1]])}|{','.join(bn[sb[g] : sb[g + 1]])}" for g in range(len(cuts))]
-    stops = [0, *np.cumsum(counts[:, 2]).tolist()]
-    out.texts += [";".join(texts[s:e]) for s, e in zip(stops, stops[1:], strict=False)]
+    # Groups as text: every token's name with what follows it, A's tokens of a group before B's.
+    a_stop, b_stop = np.cumsum(na), np.cumsum(nb)
+    last = np.zeros(len(cuts), bool)
+    last[np.searchsorted(cuts, ends)] = True
+    a_mark, b_mark = np.full(len(a), 0), np.full(len(b), 0)
+    a_mark[a_stop - 1] = 1
+    b_mark[b_stop - 1] = np.where(last, 3, 2)
+    order = np.empty(len(a) + len(b), np.int64)
+    order[np.arange(len(a)) + (b_stop - nb)[ga]] = a * 4 + a_mark
+    order[np.arange(len(b)) + a_stop[gb]] = b * 4 + b_mark
+    out.texts += "".join(map(pair.names.__getitem__, order.tolist())).split("\n")[:-1]
     # Every token of A with every one of B in its group.
     times = nb[ga]
-    first = (np.cumsum(nb) - nb)[ga]
     place = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-    codes = np.repeat(a, times) << 32 | b[np.repeat(first, times) + place]
-    own = np.repeat(owner[ga], times)
-    order = np.lexsort((codes, own))
-    own, codes = own[order], codes[order]
-    new = np.flatnonzero(np.r_[True, (np.diff(own) != 0) | (np.diff(codes) != 0)]) if len(own) else np.zeros(0, np.int64)
-    out.repeats.append(np.diff(np.r_[new, len(own)]))
-    out.codes.append(codes[new])
-    out.sizes += np.bincount(own[new], minlength=len(units)).tolist()
+    wide = len(pair.b_bytes)
+    span = wide * len(pair.a_bytes)
+    keys = np.repeat(owner[ga] * span + a * wide, times) + b[np.repeat((b_stop - nb)[ga], times) + place]
+    keys.sort()
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    out.repeats.append(np.diff(np.r_[new, len(keys)]))
+    own, codes = np.divmod(keys[new], span)
+    out.codes.append(codes // wide << 32 | codes % wide)
+    total = lambda x: np.bincount(owner, x, len(units)).astype(np.int64)
+    out.counts.append(np.stack([total(na), total(nb), total(None), total(na * nb), np.bincount(own, minlength=len(units))], 1))
+
+
+class Memory:
+    """Units that a worker has aligned, over its chunks: a unit's number leads to its row."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = defaultdict()
+        self.known.default_factory = self.known.__len__
+        self.texts: list[str | None] = []
+        self.row = np.zeros(0, np.int64)  # of a unit's number
+        self.counts, self.codes, self.repeats = np.zeros((0, 5), np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn(self, pair: Pair) -> None:
+        """Align the units that came in since the last time."""
+        base = len(self.row)
+        names = list(islice(self.known, base, None))
+        # Units that end in white space would run into the next one.
+        alone = np.array([not pair.cuts or _OPEN.search(u) is not None for u in names], bool)
+        out, pending, size = Links(), [], 0
+        for n in np.flatnonzero(~alone).tolist():
+            pending.append(names[n])
+            size += len(names[n])
+            if size >= BATCH:
+                align(pair, pending, out)
+                pending, size = [], 0
+        if pending:
+            align(pair, pending, out)
+        for n in np.flatnonzero(alone).tolist():
+            align(pair, [names[n]], out)
+        row = np.empty(len(names), np.int64)
+        row[np.r_[np.flatnonzero(~alone), np.flatnonzero(alone)]] = np.arange(base, base + len(names))
+        self.row = np.r_[self.row, row]
+        self.texts += out.texts
+        self.counts = np.concatenate([self.counts, *out.counts], dtype=np.int32)
+        self.codes, self.repeats = np.concatenate([self.codes, *out.codes]), np.concatenate([self.repeats, *out.repeats])
+        self.starts = np.cumsum(self.counts[:, 4], dtype=np.int64) - self.counts[:, 4]
 
 
 def expand(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -158,58 +208,47 @@ def expand(rows: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.
     return np.repeat(np.arange(len(rows)), n), np.repeat(starts[rows], n) + at
 
 
-def chunk_row(pair: Pair, ids: list, texts: list[bytes]) -> dict:
+def chunk_row(pair: Pair, memory: Memory, ids: list, texts: list[bytes]) -> dict:
     """One chunk of documents: per document its counts and digest, the chunk's different pairs with the number of documents that hold
     them, and packed: per document the places of its pairs among those, and how often each is linked."""
-    known: dict[str, int] = {}
-    places, docs = [], []
+    if len(memory.known) > REMEMBERED:
+        memory.clear()
+    places = []
     for raw in texts:
         text = raw.decode("utf-8", "replace")
-        whole = text and text.encode() == raw
-        own = [known.setdefault(u, len(known)) for u in pair.units(" " + text)] if whole else []
-        places.append(own)
-    out, pending, size = Links(), [], 0
-    order, singles = [], []
-    for n, u in enumerate(known):  # units that end in white space would run into the next one
-        (singles if not pair.cuts or _OPEN.search(u) else order).append((n, u))
-    for _, u in order:
-        pending.append(u)
-        size += len(u)
-        if size >= BATCH:
-            align(pair, pending, out)
-            pending, size = [], 0
-    if pending:
-        align(pair, pending, out)
-    for _, u in singles:
-        align(pair, [u], out)
-    rank = np.empty(len(known), np.int64)
-    rank[[n for n, _ in order + singles]] = np.arange(len(known))
-    counts = np.array(out.counts, np.int64).reshape(-1, 4)
-    sizes = np.array(out.sizes, np.int64)
-    starts = np.cumsum(sizes) - sizes
-    codes, repeats = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out.codes, out.repeats))
-
-    sums, digests, owners, units = [], [], [], []
+        whole = text and (raw.isascii() or text.encode() == raw)
+        places.append(np.fromiter(map(memory.known.__getitem__, pair.units(" " + text)), np.int32) if whole else np.zeros(0, np.int32))
+    memory.learn(pair)
+    counts, said = memory.counts, memory.texts.__getitem__
+    bad = counts[:, 0] == 0
+
+    sums, digests, owners, units = np.zeros((len(ids), 4), np.int64), [], [], []
     for n, own in enumerate(places):
-        own = rank[own] if own else np.zeros(0, np.int64)
-        if not len(own) or any(out.texts[u] is None for u in own.tolist()):
-            sums.append((0, 0, 0, 0)), digests.append("")
+        own = memory.row[own]
+        if not len(own) or bad[own].any():
+            digests.append("")
             continue
-        sums.append(tuple(counts[own].sum(0).tolist()))
-        digests.append(hashlib.sha256(";".join([out.texts[u] for u in own.tolist()]).encode()).hexdigest())
+        sums[n] = counts[own, :4].sum(0, dtype=np.int64)
+        digests.append(hashlib.sha256(";".join(map(said, own.tolist())).encode()).hexdigest())
         owners.append(np.full(len(own), n)), units.append(own)
+    del places
     owners, units = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, units))
     both, often = np.unique(owners << 32 | units, return_counts=True)
-    entry, at = expand(both & MASK, starts, sizes)
-    names, local = np.unique(codes[at], return_inverse=True)
-    keys = (both >> 32)[entry] << 32 | local
-    links, inverse = np.unique(keys, return_inverse=True)
-    times = np.bincount(inverse, repeats[at] * often[entry], len(links)).astype(np.int64)
+    used, entry = np.unique(both & MASK, return_inverse=True)
+    _, at = expand(used, memory.starts, counts[:, 4])
+    names, local = np.unique(memory.codes[at], return_inverse=True)
+    repeats, sizes = memory.repeats[at], counts[used, 4].astype(np.int64)
+    pair_of, at = expand(entry, np.cumsum(sizes) - sizes, sizes)
+    keys = (both >> 32)[pair_of] << 32 | local[at]
+    order = np.argsort(keys)
+    keys, times = keys[order], (repeats[at] * often[pair_of])[order]
+    new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    links, times = keys[new], np.add.reduceat(times, new) if len(new) else times
     doc, local = links >> 32, links & MASK
     parts = [np.bincount(doc, minlength=len(ids)), np.diff(local, prepend=0), times]
     packed = zstandard.ZstdCompressor(level=3).compress(b"".join(p.astype(t).tobytes() for p, t in zip(parts, (np.int64, np.int32, np.int64), strict=True)))
     return {
-        "ids": ids, "sums": np.array(sums, np.int64).reshape(-1), "digests": digests,
+        "ids": ids, "sums": sums.reshape(-1), "digests": digests,
         "codes": names, "docs": np.bincount(local, minlength=len(names)), "n_links": len(links), "packed": packed,
     }
 
@@ -224,11 +263,11 @@ def chunks(docs: DataFrame, paths: tuple[str, str] | None = None, id_col: str =
     name = f"token_align {byte_bpe} {piece_bpe}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = worker_state(name, lambda: Pair(*shared.value))
+        pair, memory = worker_state(name, lambda: (Pair(*shared.value), Memory()))
         task, made = TaskContext.get().partitionId(), 0
 
         def flush(ids: list, texts: list[bytes]) -> pa.RecordBatch:
-            row = chunk_row(pair, ids, texts)
+            row = chunk_row(pair, memory, ids, texts)
             types = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.binary())
             return pa.RecordBatch.from_arrays(
                 [pa.array([task << 32 | made]), *(pa.array([v], t) for v, t in zip(row.values(), types, strict=True))], names=["chunk", *row]

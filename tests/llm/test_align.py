@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -112,7 +113,9 @@ def test_batches_of_units(pair, library):
     align(pair, units, together)
     for u in units:
         align(pair, [u], alone)
-    assert (together.counts, together.texts, together.sizes) == (alone.counts, alone.texts, alone.sizes)
+    for one, other in ((together.counts, alone.counts), (together.codes, alone.codes), (together.repeats, alone.repeats)):
+        assert np.concatenate(one).tolist() == np.concatenate(other).tolist()
+    assert together.texts == alone.texts and together.texts[2] is None
 
 
 def test_coarse_cuts_are_refined(pair):
@@ -123,8 +126,22 @@ def test_coarse_cuts_are_refined(pair):
 
 
 @pytest.mark.parametrize("chunk", [1 << 23, 3000])
-def test_documents(spark, library, monkeypatch, chunk):
-    monkeypatch.setattr(token_align, "CHUNK", chunk)
+def test_chunks(library, pair, chunk):
+    """Chunks of one worker, with what it remembers, by plain sums over their pairs."""
+    texts = [t.encode() for t in STRANGE * 3 + ["one two, three", "", "two three one"]]
+    memory = token_align.Memory()
+    for start in range(0, len(texts), 7):
+        part = texts[start : start + 7]
+        row = token_align.chunk_row(pair, memory, list(range(len(part))), part)
+        found = [groups(library, t.decode()) for t in part]
+        assert [r[0] for r in row["sums"].reshape(-1, 4).tolist()] == [sum(len(x) for x, _ in f) for f in found]
+        held = Counter(p for f in found for p in {a << 32 | b for x, y in f for a in x for b in y})
+        assert dict(zip(row["codes"].tolist(), row["docs"].tolist(), strict=True)) == held
+        if chunk == 3000:
+            memory.clear()
+
+
+def test_documents(spark, library):
     folder = "/root/testdata/sf0.001"
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert sorted((tuple(r) for r in op13_token_align(spark, folder).collect()), key=repr) == expected(library, docs)
