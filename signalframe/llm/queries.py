@@ -13,6 +13,7 @@ from signalframe.llm.merkle import OP12_SQL, op12_merkle_manifest
 from signalframe.llm.mixing import OP9_SQL, op9_mix_sources
 from signalframe.llm.simhash import op2_simhash_dedup
 from signalframe.llm.substring_dedup import op7_substring_dedup
+from signalframe.llm.suffix_dedup import op11_suffix_dedup
 from signalframe.llm.surrogates import op4_pii_surrogates
 from signalframe.llm.token_align import op13_token_align
 
@@ -27,6 +28,7 @@ LLM_QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_mix_sources": op9_mix_sources,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_suffix_dedup": op11_suffix_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_token_align": op13_token_align,
     "pipeline": run,
