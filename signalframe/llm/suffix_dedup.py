@@ -143,13 +143,24 @@ def common_length(tables: list[tuple[int, np.ndarray]], data: np.ndarray, a: np.
 
 
 def previous_smaller(values: np.ndarray) -> np.ndarray:
-    """Index of the nearest smaller value before each one, -1 without: pointers jump over what is known to be larger."""
+    """Index of the nearest smaller value before each one, -1 without: pointers jump over what is known to be larger.
+
+    Few are left after some rounds; each of those then walks on alone.
+    """
     at = np.arange(len(values)) - 1
     open_ = np.flatnonzero(at >= 0)
-    while len(open_):
+    for _ in range(64):
         open_ = open_[values[at[open_]] > values[open_]]
         at[open_] = at[at[open_]]
         open_ = open_[at[open_] >= 0]
+    if len(open_):
+        held, jump = values.tolist(), at.tolist()
+        for n in open_.tolist():  # ascending: what is jumped over has settled before
+            k = jump[n]
+            while k >= 0 and held[k] > held[n]:
+                k = jump[k]
+            jump[n] = k
+        at = np.array(jump)
     return at
 
 
@@ -216,12 +227,18 @@ def pack_runs(ids: list[int], marks: list[int], texts: list[bytes], light: np.nd
         yield int(bucket[own[0]]), pack(len(own).to_bytes(8, "little") + np.ascontiguousarray(columns[:, own]).tobytes() + body)
 
 
-def stretches(ids: np.ndarray, marks: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows at offsets ``at`` as (id, mark, begin, end) of bytes, neighbours in one."""
-    new = np.r_[True, (np.diff(at) != 1) | (np.diff(ids) != 0) | (np.diff(marks) != 0)] if len(at) else np.zeros(0, bool)
-    begin = np.flatnonzero(new)
-    last = np.r_[begin[1:] - 1, len(at) - 1] if len(at) else begin
-    return ids[begin], marks[begin], at[begin], at[last] + length
+def stretches(ids: np.ndarray, marks: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Stretches of bytes (id, mark, begin, end), those that overlap in one."""
+    order = np.lexsort((end, begin, marks, ids))
+    ids, marks, begin, end = (x[order] for x in (ids, marks, begin, end))
+    if not len(ids):
+        return ids, marks, begin, end
+    other = np.r_[True, (np.diff(ids) != 0) | (np.diff(marks) != 0)]
+    # Ends rise within a document and fall back at the next: an offset per document makes one running maximum of them.
+    lift = np.cumsum(other) * (int(end.max()) + 1)
+    reach = np.maximum.accumulate(end + lift) - lift
+    new = np.flatnonzero(other | np.r_[True, begin[1:] > reach[:-1]])
+    return ids[new], marks[new], begin[new], reach[np.r_[new[1:] - 1, len(end) - 1]]
 
 
 def repeated_in_bucket(blocks: list[bytes], length: int, keep_first: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -258,8 +275,9 @@ def repeated_in_bucket(blocks: list[bytes], length: int, keep_first: bool) -> tu
         place = np.arange(len(owner)) - np.repeat(np.cumsum(count[firsts]) - count[firsts], count[firsts])
         lpf, lnf = longest_factors(data, np.repeat(offset, count[firsts]) + place, length)
         hit = np.flatnonzero(lpf >= length if keep_first else (lpf >= length) | (lnf >= length))
-        out.append(stretches(ids[owner[hit]], marks[owner[hit]], begin[owner[hit]] + place[hit], length))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(4))
+        at = begin[owner[hit]] + place[hit]
+        out.append((ids[owner[hit]], marks[owner[hit]], at, at + length))
+    return stretches(*(np.concatenate([o[k] for o in out]) for k in range(4)))
 
 
 def digest_rows(ids: list[int], marks: list[int], texts: list[bytes], heavy: np.ndarray, length: int) -> dict:
@@ -420,7 +438,7 @@ def dedup_bytes(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("_id"), row_hash(F.col(text_col)).alias("_h"),
         F.col(text_col).cast("binary").alias("text"), F.col(id_col).cast("long").alias("doc_id"),
     )
-    spans = repeats(rows, length, keep_first, heavy).groupBy("_id", "_h").agg(F.collect_set("span").alias("spans"))
+    spans = repeats(rows, length, keep_first, heavy).groupBy("_id", "_h").agg(F.collect_list("span").alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

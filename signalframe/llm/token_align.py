@@ -33,7 +33,7 @@ BYTE_BPE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text handled at a time, and characters tokenized at a time.
 CHUNK, BATCH = 4 << 20, 1 << 16
 #: Different units that a worker keeps from chunk to chunk; beyond that it begins anew. Results do not depend on it.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 #: A unit goes on over a space only after white space (and after some characters that some tables take for it).
 _BLANK = "\\s\u180e\u200b\ufeff"
 _UNIT = re.compile(f" (?:[^ ]+|(?<=[{_BLANK}]) )*")
