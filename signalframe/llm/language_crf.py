@@ -44,7 +44,7 @@ def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Hashed affixes (1 to 3 letters), n-grams (2 and 3 letters, with word ends) and the lexicon that has the word."""
     w = f"<{word}>"
     parts = {"p" + w[:n] for n in (2, 3, 4)} | {"s" + w[-n:] for n in (2, 3, 4)}
-    parts |= {w[i : i + n] for n in (2, 3) for i in range(min(len(w), 32) - n + 1)}
+    parts |= {w[i : i + n] for n in (2, 3) for i in range(len(w) - n + 1)}
     out = [zlib.crc32(p.encode()) % BUCKETS for p in sorted(parts)]
     if word in lexicon:
         out.append(BUCKETS + lexicon[word])
