@@ -30,9 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = learn(docs)
     if not model.languages:
         return docs
-    kept = [c for c in docs.columns if c not in ("lang_pred", "certainty")]
-    found = identify(docs, model, outputs=("lang_pred", "certainty"), keep=tuple(kept))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= LEAST_SCORE)).select(*kept)
+    # Columns go through under names that no output has.
+    names = {c: f"c{n}" for n, c in enumerate(docs.columns)}
+    rows = docs.toDF(*names.values())
+    found = identify(rows, model, names["doc_id"], names["text"], ("lang_pred", "certainty"), tuple(names.values()))
+    sure = (F.col("lang_pred") != UNDETERMINED) & (F.col("certainty") >= LEAST_SCORE)
+    return found.filter(sure).select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
