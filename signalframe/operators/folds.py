@@ -35,31 +35,22 @@ IMPORTANCE = "series_id string, feature string, importance double"
 def fold_table(features: DataFrame, min_train: int = MIN_TRAIN, cal_rows: int = CAL_ROWS, embargo: int = 0) -> DataFrame:
     """Sizes and training end (date of the last training row) of every monthly fold.
 
-    ``embargo`` leaves out that many rows before the test month, whose labels reach into it. Sizes come from
-    counts per (series, month); the training end is looked up by the row's number.
+    ``embargo`` leaves out that many rows before the test month, whose labels reach into it. One window numbers the rows and
+    looks back to the training end; a month's first row then says all, so nothing is joined and rows are dealt by series once.
     """
-    months = features.groupBy("series_id", month_of(F.col("obs_date")).alias("test_month")).agg(
-        F.count(F.lit(1)).alias("n_test")
-    )
+    order = Window.partitionBy("series_id").orderBy("obs_date")
     placed = features.select(
         "series_id",
-        F.col("obs_date").alias("train_end"),
-        F.row_number().over(Window.partitionBy("series_id").orderBy("obs_date")).cast("long").alias("n_train"),
+        "obs_date",
+        month_of(F.col("obs_date")).alias("test_month"),
+        F.row_number().over(order).cast("long").alias("_n"),
+        F.lag("obs_date", embargo + 1).over(order).alias("_end"),
     )
-    earlier = Window.partitionBy("series_id").orderBy("test_month").rowsBetween(Window.unboundedPreceding, -1)
-    n_train = F.coalesce(F.sum("n_test").over(earlier), F.lit(0)) - embargo
     return (
-        months.withColumn("n_train", n_train)
+        placed.groupBy("series_id", "test_month")
+        .agg((F.min("_n") - 1 - embargo).alias("n_train"), F.count(F.lit(1)).alias("n_test"), F.min_by("_end", "_n").alias("train_end"))
         .filter(F.col("n_train") >= min_train)
-        .join(placed, ["series_id", "n_train"])
-        .select(
-            "series_id",
-            "test_month",
-            "n_train",
-            F.least("n_train", F.lit(cal_rows)).alias("n_cal"),
-            "n_test",
-            "train_end",
-        )
+        .select("series_id", "test_month", "n_train", F.least("n_train", F.lit(cal_rows)).alias("n_cal"), "n_test", "train_end")
     )
 
 

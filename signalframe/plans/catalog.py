@@ -22,6 +22,7 @@ from signalframe.operators import (
     metrics,
     models,
     quality,
+    pooled,
     quota,
     serving,
     subscribers,
@@ -878,6 +879,43 @@ def walkforward_bounds(spark, folder):
     return out.select("series_id", "obs_date", "y_true", "test_month", "train_end", "n_train", "n_test")
 
 
+@query
+def walkforward_pooled(spark, folder):
+    """One model over all series per month, all months fitted together."""
+    return pooled.walk_forward_folds(_features(spark, folder), H7_FEATURES)
+
+
+@query
+def walkforward_pooled_bounds(spark, folder):
+    out = pooled.walk_forward_folds(_features(spark, folder), H7_FEATURES)
+    share = F.col("p_up").between(0.0, 1.0).alias("is_share")
+    return out.select("series_id", "obs_date", "y_true", "test_month", "train_end", "n_train", "n_test", share)
+
+
+@query
+def fit_offsets(spark, folder):
+    return pooled.fit_offsets(_features(spark, folder), H7_FEATURES).coefficients()
+
+
+@query
+def offsets_optimum(spark, folder):
+    """Whether the fit is where its gradient vanishes: per series and shared column the weight against the summed errors."""
+    rows = durable(_features(spark, folder))
+    model = pooled.fit_offsets(rows, H7_FEATURES)
+    error = F.col("p_up") - F.col("direction_7d")
+    scored = durable(model.predict(rows).select("series_id", error.alias("error"), *H7_FEATURES))
+    found = scored.groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("error").alias("error"))
+    series = found.join(model.offsets.drop("n_rows"), "series_id").select(
+        F.concat(F.lit("series_id="), "series_id").alias("term"), "n_rows", (F.abs(F.col("error") + F.col("offset")) < 1e-6).alias("settled")
+    )
+    out = series
+    for c, w in zip(H7_FEATURES, model.scaled[1:]):
+        # Sum of the standardised column times the error, from moments of one aggregate.
+        slope = (F.sum(F.col(c) * F.col("error")) - F.avg(c) * F.sum("error")) / F.stddev_pop(c) + F.lit(float(w))
+        out = out.unionByName(scored.agg(F.lit(c).alias("term"), F.count(F.lit(1)).alias("n_rows"), (F.abs(slope) < 1e-6).alias("settled")))
+    return out
+
+
 @query
 def walkforward_calibration_sizes(spark, folder):
     out = folds.walk_forward_calibrated(_features(spark, folder), H7_FEATURES)
