@@ -34,7 +34,10 @@ from signalframe.schemas import BASELINE_FEATURES, H7_FEATURES
 from signalframe.session import durable, scratch_path
 from signalframe.sources import landing, tables
 from signalframe.sources import subscribers as subscriber_source
+from signalframe.streaming import subscriptions
+from signalframe.streaming.ordered import start_writing
 from signalframe.streaming.quota import start_quota
+from signalframe.streaming.requests import request_answers
 from signalframe.streaming.silver import start_silver
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -753,6 +756,84 @@ def stream_quota(spark, folder):
     return counts.withColumn("window_start", dates.utc_wall(F.col("window_start")))
 
 
+def _streamed(spark, rows, late_key: str, start):
+    """Run ``start(stream)`` on ``rows`` in several batches, then once more after a row that moves the watermark past everything."""
+    root = scratch_path(spark, "feed")
+    rows.repartition(3).write.parquet(f"{root}/a")
+    stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(root)
+    start(stream).awaitTermination()
+    beat = rows.limit(1).withColumn(late_key, F.lit(None).cast(rows.schema[late_key].dataType))
+    beat.withColumn("ts", F.lit("2100-01-01 00:00:00").cast(rows.schema["ts"].dataType)).write.parquet(f"{root}/b")
+    start(stream).awaitTermination()
+
+
+@query
+def stream_quota_requests(spark, folder):
+    """Every request's place and answer from a stream in three batches."""
+    out = scratch_path(spark, "answers")
+    events = fixtures.table(spark, folder, "events").select("event_id", "user_id", "ts")
+
+    def start(stream):
+        return start_writing(request_answers(stream, "user_id", "ts", "event_id", 86400, 3, late="60 days"), f"{out}/rows", f"{out}/state")
+
+    _streamed(spark, events, "user_id", start)
+    rows = spark.read.parquet(f"{out}/rows").drop("batch")
+    return rows.withColumns({c: dates.utc_wall(F.col(c)) for c in ("window_start", "reset_at")})
+
+
+@query
+def stream_subscriptions(spark, folder):
+    """The state after a feed of upserts and deletes, with every tenth change sent twice."""
+    out = scratch_path(spark, "subscriptions")
+    log = fixtures.table(spark, folder, "events").select("event_id", "user_id", "ts", "event_type", "value", "props")
+    kind = F.when(F.col("event_type") == "error", "delete").otherwise("upsert")
+    # JSON leaves nulls out and numbers come back exactly as text.
+    settings = F.to_json(F.struct(F.col("value").cast("string").alias("value"), "props"))
+
+    def start(stream):
+        made = subscriptions.subscription_changes(stream, "user_id", "ts", "event_id", subscriptions.change(kind, settings), late="60 days")
+        return start_writing(made, f"{out}/rows", f"{out}/state")
+
+    _streamed(spark, log.unionByName(log.filter("event_id % 10 = 0")), "user_id", start)
+    live = subscriptions.newest(spark.read.parquet(f"{out}/rows"), "user_id")
+    given = F.from_json("settings", "value string, props string")
+    wall = lambda c: dates.utc_wall(F.timestamp_micros(c))
+    return live.select(
+        "user_id", wall("created").alias("created_at"), wall("updated").alias("updated_at"), given["value"].cast("double").alias("value"),
+        given["props"].alias("props"), F.col("token").cast("long").alias("first_event_id"),
+    )
+
+
+@query
+def stream_verifications(spark, folder):
+    """Tokens that expire, and requests to verify them, as one feed."""
+    out = scratch_path(spark, "verifications")
+    stamp = lambda text: F.lit(text).cast("timestamp_ntz")
+    token = F.md5(F.concat(F.lit("token"), F.col("id").cast("string")).cast("binary"))
+    micros = lambda c: F.unix_micros(dates.utc_instant(c))
+    rows = fixtures.table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal", "c_nationkey")
+    expires = stamp("2024-01-01 00:00:00") + F.make_dt_interval(F.col("c_nationkey").cast("int"))
+    verified = F.when(F.col("c_acctbal") > 5000, micros(stamp("2023-12-01 00:00:00")))
+    made = rows.select(
+        "id", (F.col("id") * 2).alias("event_id"), stamp("2023-11-01 00:00:00").alias("ts"),
+        subscriptions.change(F.lit("upsert"), token=token, expires=micros(expires), verified=verified).alias("body"),
+    )
+    asked = fixtures.table(spark, folder, "orders").select(F.col("o_custkey").alias("id")).distinct().select(
+        "id", (F.col("id") * 2 + 1).alias("event_id"), stamp("2024-01-10 00:00:00").alias("ts"), subscriptions.change(F.lit("verify"), token=token).alias("body")
+    )
+
+    def start(stream):
+        return start_writing(subscriptions.subscription_changes(stream, "id", "ts", "event_id", F.col("body"), late="400 days"), f"{out}/rows", f"{out}/state")
+
+    _streamed(spark, made.unionByName(asked), "id", start)
+    live = subscriptions.newest(spark.read.parquet(f"{out}/rows"), "id")
+    wall = lambda c: dates.utc_wall(F.timestamp_micros(c))
+    return live.select(
+        "id", wall("verified").alias("verified_at"), F.when(F.col("updated") > F.col("created"), wall("updated")).alias("updated_at"),
+        F.col("token").alias("verification_token"), wall("expires").alias("verification_expires_at"),
+    )
+
+
 # --- models -----------------------------------------------------------------------------------
 
 

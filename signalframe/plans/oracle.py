@@ -657,3 +657,6 @@ from features f join bounds b on f.series_id = b.series_id and date_trunc('month
 select series_id, 22 as terms, count(*) as n_rows from features group by 1"""),
     "score_global_actions": with_(*FEATURES, select="select series_id, obs_date, true as is_share, true as follows from features"),
 }
+# The streams end where the batch queries do.
+for _stream, _batch in (("stream_quota_requests", "quota_windows"), ("stream_subscriptions", "subscription_state"), ("stream_verifications", "subscription_verify")):
+    ORACLES[_stream] = ORACLES[_batch]
