@@ -32,7 +32,7 @@ from signalframe.operators.windows import by_series, exact_rank, keep_latest
 from signalframe.plans import fixtures
 from signalframe.schemas import BASELINE_FEATURES, H7_FEATURES
 from signalframe.session import durable, scratch_path
-from signalframe.sources import landing, tables
+from signalframe.sources import landing, tables, versions
 from signalframe.sources import subscribers as subscriber_source
 from signalframe.streaming import subscriptions
 from signalframe.streaming.ordered import start_writing
@@ -146,6 +146,42 @@ def gold_incremental(spark, folder):
     return rounded(incremental.refresh_gold(current, old, changed).select(*GOLD_VALUES))
 
 
+def _silver_in_versions(spark, folder) -> versions.VersionedTable:
+    """Observations up to 1999, then restated and later ones as a second version."""
+    obs = durable(fixtures.observations(spark, folder))
+    restate = (F.dayofmonth("obs_date") == 13) & (F.year("obs_date") == 1999)
+    late = F.col("obs_date") > F.lit("1999-12-31").cast("date")
+    silver = versions.VersionedTable(spark, scratch_path(spark, "silver"))
+    stamped = lambda df, text: df.withColumns({"ingested_at": F.lit(text).cast("timestamp"), "raw_path": F.lit(text)})
+    silver.upsert(stamped(obs.filter(~late), "2024-01-01 00:00:00"))
+    current = obs.withColumn("value", F.when(restate, F.col("value") * 1.01).otherwise(F.col("value")))
+    silver.upsert(stamped(current.filter(restate | late), "2024-02-01 00:00:00"))
+    return silver
+
+
+@query
+def silver_versions(spark, folder):
+    """Both versions of a table, read after the second was committed."""
+    silver = _silver_in_versions(spark, folder)
+    both = [silver.read(v).select(F.lit(v).alias("version"), "series_id", "obs_date", "value") for v in (1, 2)]
+    return rounded(both[0].unionByName(both[1]))
+
+
+@query
+def changed_keys(spark, folder):
+    """What differs between two versions, found by comparing digests from the top."""
+    return _silver_in_versions(spark, folder).changed_keys(1, 2)
+
+
+@query
+def gold_versions(spark, folder):
+    """The wide table after the second version, of which only the months that the changes reach were made anew."""
+    silver = _silver_in_versions(spark, folder)
+    gold = versions.VersionedTable(spark, scratch_path(spark, "gold"))
+    gold.commit(features.gold_features(silver.read(1)), None, None, {"silver": 1})
+    return rounded(gold.read(versions.refresh_gold(silver, gold)).select(*GOLD_VALUES))
+
+
 @query
 def gold_merge(spark, folder):
     obs = fixtures.observations(spark, folder)

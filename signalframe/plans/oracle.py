@@ -309,6 +309,13 @@ select series_id, obs_date, {r('value')} from observations where series_id = 'FX
     "gold_calendar": with_(*GOLD, select=f"""
 select series_id, obs_date, base_currency, quote_currency, {', '.join(CALENDAR)} from gold"""),
     "gold_incremental": with_(OBSERVATIONS, RESTATED, gold_ctes("observations_restated"), select=GOLD_SELECT + " from gold"),
+    "silver_versions": with_(OBSERVATIONS, RESTATED, select=f"""
+select 1 as version, series_id, obs_date, {r('value')} from observations where obs_date <= date '1999-12-31'
+union all select 2, series_id, obs_date, {r('value')} from observations_restated"""),
+    "changed_keys": with_(OBSERVATIONS, select="""
+select series_id, obs_date from observations
+where obs_date > date '1999-12-31' or (day(obs_date) = 13 and year(obs_date) = 1999)"""),
+    "gold_versions": with_(OBSERVATIONS, RESTATED, gold_ctes("observations_restated"), select=GOLD_SELECT + " from gold"),
     "gold_merge": with_(OBSERVATIONS, select=f"""
 select series_id, obs_date, {r("case when obs_date >= date '1999-01-01' then value * 2 else value end", 'value')}
 from observations"""),
