@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from signalframe.functions.numbers import LOG_FLOOR, count_reached, log_loss
 from signalframe.functions.signals import check_threshold
 from signalframe.operators.metrics import acted_cells, acted_scores, unpivot_models, with_collapse
+from signalframe.operators.selection import with_levels
 from signalframe.operators.windows import by_series, exact_rank, trailing
 from signalframe.session import durable
 
@@ -94,27 +95,38 @@ def topk_sizes(n: Column, coverage: float, split: float | None = 0.5) -> tuple[C
     return up, total - up
 
 
-def _ranked_sides(preds: DataFrame, p: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Rank within the up side and the down side by distance from 0.5."""
-    sided = preds.withColumn("side", F.when(F.col(p) >= 0.5, 1).otherwise(-1)).withColumn(
-        "_conf", F.abs(F.col(p) - 0.5)
-    )
-    order = [F.desc("_conf"), F.asc("obs_date"), F.asc("series_id")]
-    return exact_rank(sided, order, keys=(*by, "side")).drop("_conf")
+def topk_size(n: int, coverage: float, split: float | None = 0.5) -> tuple[int, int]:
+    """As ``topk_sizes`` for a known number of rows."""
+    total = round(n * float(coverage))
+    up = total // 2 if split is None else round(total * float(split))
+    return up, total - up
+
+
+CONFIDENCE = "_conf"
+TIES = ["obs_date", "series_id"]
+
+
+def _sided(preds: DataFrame, p: str) -> DataFrame:
+    """The side of 0.5 that each row is on, and its distance from it."""
+    return preds.withColumn("side", F.when(F.col(p) >= 0.5, 1).otherwise(-1)).withColumn(CONFIDENCE, F.abs(F.col(p) - 0.5))
+
+
+def _sizes(n: int, coverages: Sequence[float], split: float | None = 0.5) -> dict[int, list[int]]:
+    """Rows to take per side (1 up, -1 down) at each coverage, ascending."""
+    sizes = [topk_size(n, c, split) for c in sorted(coverages)]
+    return {1: [up for up, _ in sizes], -1: [down for _, down in sizes]}
 
 
 def balanced_topk(preds: DataFrame, p: str, coverage: float, split: float | None = None) -> DataFrame:
-    """The most confident rows of each side, about ``coverage`` of all rows, with their action."""
-    preds = durable(preds)
-    ranked = _ranked_sides(preds, p)
-    up, down = topk_sizes(F.col("_n"), coverage, split)
-    limit = F.when(F.col("side") == 1, up).otherwise(down)
-    return (
-        ranked.withColumn("_n", preds.agg(F.count(F.lit(1)).alias("n")).scalar())
-        .filter(F.col("rank") <= limit)
-        .drop("_n")
-        .withColumnRenamed("side", "act")
-    )
+    """The most confident rows of each side, about ``coverage`` of all rows, with their action.
+
+    The rows are selected first; only the chosen ones are ranked.
+    """
+    sided = durable(_sided(preds, p))
+    sizes = _sizes(sided.count(), [coverage], split)
+    ties = [F.asc(c) for c in TIES]
+    chosen = with_levels(sided, F.col(CONFIDENCE), ties, {(s,): k for s, k in sizes.items()}, ("side",), "_level").filter("_level = 0").drop("_level")
+    return exact_rank(chosen, [F.desc(CONFIDENCE), *ties], keys=("side",)).drop(CONFIDENCE).withColumnRenamed("side", "act")
 
 
 def balanced_topk_per_series(preds: DataFrame, p: str, coverage: float, split: float | None = None) -> DataFrame:
@@ -135,19 +147,17 @@ def balanced_topk_per_series(preds: DataFrame, p: str, coverage: float, split: f
 def topk_sweep(
     preds: DataFrame, models: dict[str, str], coverages: Sequence[float] = COVERAGES, floor: float = LOG_FLOOR
 ) -> DataFrame:
-    """Balanced top-k at every target coverage; one sort ranks all models."""
+    """Balanced top-k at every target coverage; rows are counted by confidence, and sorted at the edges only.
+
+    ``preds`` is read once per step of the selection: checkpoint it if it is dear.
+    """
     cs = sorted(coverages)
-    ranked = _ranked_sides(unpivot_models(preds, models, ["series_id", "obs_date", "y_true"]), "p", ("model",))
-    ranked = ranked.withColumn("_n", preds.agg(F.count(F.lit(1)).alias("n")).scalar())
-    # Level: the first coverage whose size reaches the row's rank.
-    level = F.lit(len(cs))
-    for i, c in reversed(list(enumerate(cs))):
-        up, down = topk_sizes(F.col("_n"), c)
-        limit = F.when(F.col("side") == 1, up).otherwise(down)
-        level = F.when(F.col("rank") <= limit, i).otherwise(level)
-    rows = ranked.select(
-        "y_true", "p", "side", level.alias("level"), "model", F.lit("balanced_topk_confidence").alias("policy")
-    )
+    sizes = _sizes(preds.count(), cs)
+    sided = _sided(unpivot_models(preds, models, ["series_id", "obs_date", "y_true"]), "p")
+    targets = {(m, s): k for m in models for s, k in sizes.items()}
+    # Level: the first coverage that reaches the row.
+    ranked = with_levels(sided, F.col(CONFIDENCE), [F.asc(c) for c in TIES], targets, ("model", "side"))
+    rows = ranked.select("y_true", "p", "side", "level", "model", F.lit("balanced_topk_confidence").alias("policy"))
     cells = acted_cells(rows, ["policy", "model", "level"], act="side", floor=floor).withColumnRenamed("act", "side")
     spread = _spread(cells, cs, "coverage_target", (), floor_up=False)
     return acted_scores(spread, ["policy", "model", "coverage_target"])
