@@ -32,7 +32,7 @@ from signalframe.operators.windows import by_series, exact_rank, keep_latest
 from signalframe.plans import fixtures
 from signalframe.schemas import BASELINE_FEATURES, H7_FEATURES
 from signalframe.session import durable, scratch_path
-from signalframe.sources import landing, tables, versions
+from signalframe.sources import landing, observed, tables, versions
 from signalframe.sources import subscribers as subscriber_source
 from signalframe.streaming import subscriptions
 from signalframe.streaming.ordered import start_writing
@@ -619,6 +619,35 @@ def run_manifest(spark, folder):
     return serving.manifest_rows(fixtures.observations(spark, folder), fixtures.predictions(spark, folder))
 
 
+@query
+def observed_manifest(spark, folder):
+    """What two outputs hold, observed while they were written."""
+    outputs = {"gold": _gold(spark, folder).select("series_id", "obs_date", "lag_21d", "return_5d"), "predictions": fixtures.predictions(spark, folder).select("series_id", "obs_date", "y_true")}
+    check = {"gold": ("series_id", "obs_date"), "predictions": ("series_id", "obs_date", "y_true")}
+    return observed.fact_rows(spark, observed.publish_observed(spark, outputs, scratch_path(spark, "observed"), "2024-01-15", check))
+
+
+@query
+def run_manifest_document(spark, folder):
+    """The nested manifest of a run, taken apart again: inputs, predictions and the files that a run left."""
+    root = scratch_path(spark, "document")
+    preds = fixtures.predictions(spark, folder)
+    # One file, so that its facts do not depend on partitions.
+    preds.agg(F.count(F.lit(1)).cast("string").alias("value")).coalesce(1).write.text(f"{root}/models")
+    files = tables.file_facts(spark, f"{root}/models", "part-*").withColumn("name", F.lit("model"))
+    document = serving.run_manifest(fixtures.observations(spark, folder), preds, {"run_date": "2024-01-15"}, files)
+    inputs = document.select("run_date", F.inline("gold_inputs")).select(
+        "run_date", F.lit("input").alias("section"), F.col("series_id").alias("name"), "rows", "min_obs_date", "max_obs_date", F.lit(None).cast("string").alias("sha256")
+    )
+    counts = document.select("run_date", F.explode("predictions.by_series_rows").alias("name", "rows"), F.col("predictions.min_obs_date"), F.col("predictions.max_obs_date"))
+    made = counts.select("run_date", F.lit("predictions").alias("section"), "name", "rows", "min_obs_date", "max_obs_date", F.lit(None).cast("string").alias("sha256"))
+    none = F.lit(None).cast("date")
+    left = document.select("run_date", F.explode("model_files").alias("name", "f")).select(
+        "run_date", F.lit("file").alias("section"), "name", F.col("f.bytes").alias("rows"), none.alias("min_obs_date"), none.alias("max_obs_date"), F.col("f.sha256").alias("sha256")
+    )
+    return inputs.unionByName(made).unionByName(left)
+
+
 # --- serving and subscribers ------------------------------------------------------------------
 
 

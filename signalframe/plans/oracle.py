@@ -602,6 +602,22 @@ select o.series_id, o.rows, o.lo as min_obs_date, o.hi as max_obs_date, p.rows a
 from (select series_id, count(*) as rows, min(obs_date) as lo, max(obs_date) as hi from observations group by 1) o
 full join (select series_id, count(*) as rows, min(obs_date) as lo, max(obs_date) as hi from predictions group by 1) p
   using (series_id)"""),
+    "observed_manifest": with_(*OBS_PRED, gold_ctes("observations"), """facts as (
+  select 'gold' as output, count(*) as rows, min(obs_date) as a, max(obs_date) as b, cast(sum(cast('0x' || substr(md5(coalesce(cast(series_id as varchar), '') || '|' || coalesce(cast(cast(obs_date as date) as varchar), '')), 1, 8) as bigint)) as bigint) as checksum,
+         map {'series_id': 0, 'obs_date': 0, 'lag_21d': count(*) filter (lag_21d is null), 'return_5d': count(*) filter (return_5d is null)} as nulls from gold
+  union all
+  select 'predictions', count(*), min(obs_date), max(obs_date), cast(sum(cast('0x' || substr(md5(coalesce(cast(series_id as varchar), '') || '|' || coalesce(cast(cast(obs_date as date) as varchar), '') || '|' || coalesce(cast(y_true as varchar), '')), 1, 8) as bigint)) as bigint),
+         map {'series_id': 0, 'obs_date': 0, 'y_true': count(*) filter (y_true is null)} from predictions)""", select="""
+select output, rows, cast(cast(a as date) as varchar) as first_date, cast(cast(b as date) as varchar) as last_date, checksum, n.key as column, n.value as nulls
+from (select *, unnest(map_entries(nulls)) as n from facts)"""),
+    "run_manifest_document": with_(*OBS_PRED, select="""
+select '2024-01-15' as run_date, 'input' as section, series_id as name, count(*) as rows, min(obs_date) as min_obs_date, max(obs_date) as max_obs_date,
+       null as sha256 from observations group by series_id
+union all
+select '2024-01-15', 'predictions', series_id, count(*), (select min(obs_date) from predictions), (select max(obs_date) from predictions), null
+from predictions group by series_id
+union all
+select '2024-01-15', 'file', 'model', strlen(count(*)::varchar) + 1, null, null, sha256(count(*)::varchar || chr(10)) from predictions"""),
     "subscription_status": """
 select user_id, min(ts) filter (event_type <> 'error') as created_at, max(ts) as updated_at,
        case when list_last(list(event_type order by ts, event_id)) = 'error' then 'inactive' else 'active' end as status

@@ -14,7 +14,7 @@ EAGER = {
     "stream_silver", "stream_quota", "silver_upsert", "bronze_scan", "publish_run", "gold_scan", "gold_scan_rejects",
     "fit_global", "score_global", "score_per_series", "score_global_actions",
     "predictions_sink", "features_sink", "metrics_sink", "coerce_columns",
-    "silver_versions", "changed_keys", "gold_versions",
+    "silver_versions", "changed_keys", "gold_versions", "observed_manifest", "run_manifest_document",
     "stream_quota_requests", "stream_subscriptions", "stream_verifications",
     "walkforward_pooled", "walkforward_pooled_bounds", "fit_offsets", "offsets_optimum",
 }
