@@ -116,6 +116,9 @@ def _fit_global(kept: DataFrame, target: str, c: float, numeric: list[str], tol:
         ),
     ]
     fitted = Pipeline(stages=stages).fit(kept)
+    # The training summary refers to the session and the training rows. Scoring would send it along, which fails once
+    # the session has observed a write.
+    fitted.stages[-1]._java_obj.setSummary(kept.sparkSession._jvm.scala.Option.apply(None))
     return GlobalModel(fitted, numeric, list(fitted.stages[0].labels), n)
 
 

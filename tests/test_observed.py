@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import Observation
@@ -60,3 +61,15 @@ def test_runs_are_published_whole(spark, tmp_path):
     rows = fact_rows(spark, manifest).collect()
     assert {(r["output"], r["column"]): r["nulls"] for r in rows}["a", "value"] == 1 and len(rows) == 6
     assert {r["checksum"] for r in rows if r["output"] == "a"} == {check(ROWS)}
+
+
+def test_models_score_after_an_observed_write(spark, tmp_path):
+    """An observation becomes part of the session; models must not take the session along."""
+    from signalframe.operators import models
+
+    rng = random.Random(1)
+    rows = [(f"s{i % 2}", dt.date(2024, 1, 1) + dt.timedelta(i), rng.random(), rng.randrange(2)) for i in range(80)]
+    df = spark.createDataFrame(rows, "series_id string, obs_date date, a double, direction_7d int")
+    write_observed(df, f"{tmp_path}/out")
+    assert models.score_global(models.train_global(df, numeric=["a"]), df).count() == 80
+    assert len(models.score_global(models.train_global(df, numeric=["a"]), df).collect()) == 80
