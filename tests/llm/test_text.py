@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from signalframe.llm import bottomk, chat_tree, license_scan, surrogates
 from signalframe.llm.bpe import Vocabulary, encode, vocabulary_path
-from signalframe.llm.language_crf import identify, learn, op5_language_id, train
+from signalframe.llm.language_crf import features, identify, learn, op5_language_id, train
 from signalframe.llm.license_scan import op8_license_scan, scan_licenses, scan_text
 from signalframe.llm.surrogates import assign, canonical, find_entities, pseudonymise, surrogate
 
@@ -25,6 +25,18 @@ SF = "/root/testdata/sf0.001"
 tokenizers = pytest.importorskip("tokenizers")
 
 
+def test_long_words_differ_wherever_they_differ():
+    one, two = ("a" * 60 + middle + "b" * 4 for middle in ("xyzxyzxyz" * 4, "klmklmklm" * 4))
+    assert set(features(one, {})) != set(features(two, {}))
+
+
+def test_language_stage_keeps_columns_of_any_name(spark):
+    rows = [(i, ("le la les des une " if i % 2 else "the of and with from ") * 20, "fr" if i % 2 else "en", "s", 5, f"p{i}", i / 7, f"c{i}", None) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, lang_pred string, certainty double, c0 string, score double")
+    kept = corpus_pipeline.language(spark, docs, SF)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == sorted(rows)
+
+
 @pytest.fixture(scope="module")
 def library():
     return tokenizers.Tokenizer.from_file(vocabulary_path())
