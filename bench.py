@@ -28,6 +28,7 @@ HEADLINE = [
     "silver_dedup", "landing_audit", "latest_artifacts", "signal_history", "run_manifest", "digest_rows",
     "subscription_state", "quota_windows", "stream_quota", "walkforward_logreg", "walkforward_calibrated",
     "fit_per_series", "fit_global", "walkforward_daily", "walkforward_gbt", "stream_silver", "silver_upsert",
+    "walkforward_pooled", "fit_offsets", "gold_versions",
 ]
 
 

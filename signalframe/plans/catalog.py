@@ -1038,6 +1038,27 @@ def walkforward_pooled_bounds(spark, folder):
     return out.select("series_id", "obs_date", "y_true", "test_month", "train_end", "n_train", "n_test", share)
 
 
+@query
+def pooled_calibration(spark, folder):
+    """Isotonic calibration of the pooled walk-forward on the last 252 dates before 2001, applied to them and to what follows.
+
+    An isotonic fit keeps the sum of what it is fitted to, so the calibrated probabilities add up to the positives.
+    """
+    out = durable(pooled.walk_forward_folds(_features(spark, folder), H7_FEATURES))
+    early = F.col("obs_date") < F.lit("2001-01-01").cast("date")
+    # Dates of a calendar: bounded.
+    days = out.filter(early).select("obs_date").distinct().orderBy(F.desc("obs_date")).limit(folds.CAL_ROWS)
+    tail = out.join(F.broadcast(days), "obs_date").withColumn("part", F.lit("calibration"))
+    both = tail.unionByName(out.filter(~early).withColumn("part", F.lit("later")))
+    scored = models.calibrate_pooled(tail, both)
+    return scored.groupBy("part").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("y_true").alias("positives"),
+        F.sum(F.col("p_cal").between(0.0, 1.0).cast("long")).alias("shares"),
+        F.round(F.sum(F.when(F.col("part") == "calibration", F.col("p_cal"))), 6).alias("fitted"),
+    )
+
+
 @query
 def fit_offsets(spark, folder):
     return pooled.fit_offsets(_features(spark, folder), H7_FEATURES).coefficients()

@@ -297,6 +297,15 @@ RESTATED = """observations_restated as (
   select series_id, obs_date, case when day(obs_date) = 13 and year(obs_date) = 1999 then value * 1.01e0 else value end as value
   from observations)"""
 
+#: Bounds of the monthly folds over all series.
+POOLED = """days as (
+  select obs_date, count(*) as n, sum(count(*)) over (order by obs_date) as upto from features group by 1),
+months as (
+  select cast(date_trunc('month', obs_date) as date) as test_month, min(obs_date) as first_day, sum(n) as n_test from days group by 1),
+pooled as (
+  select m.test_month, cast(m.n_test as bigint) as n_test, cast(max(d.upto) as bigint) as n_train, cast(max(d.obs_date) as date) as train_end
+  from months m join days d on d.obs_date < m.first_day group by 1, 2 having max(d.upto) >= 504)"""
+
 ORACLES: dict[str, str] = {
     "latest_per_series": with_(*OBS_PRED, LAST_ROWS, select=f"""
 select series_id, obs_date, p_up_logreg + 0e0 as p_up_logreg, {label('p_up_logreg', 0.6, 1e-10)} as decision,
@@ -660,15 +669,16 @@ select event_id, 'double' as numbers_type, 'string' as mixed_type, value as numb
     "walkforward_bounds": with_(*BOUNDS, select="""
 select f.series_id, f.obs_date, f.direction_7d as y_true, b.test_month, b.train_end, b.n_train, b.n_test
 from features f join bounds b on f.series_id = b.series_id and date_trunc('month', f.obs_date) = b.test_month"""),
-    "walkforward_pooled_bounds": with_(*FEATURES, """days as (
-  select obs_date, count(*) as n, sum(count(*)) over (order by obs_date) as upto from features group by 1),
-months as (
-  select cast(date_trunc('month', obs_date) as date) as test_month, min(obs_date) as first_day, sum(n) as n_test from days group by 1),
-pooled as (
-  select m.test_month, cast(m.n_test as bigint) as n_test, cast(max(d.upto) as bigint) as n_train, cast(max(d.obs_date) as date) as train_end
-  from months m join days d on d.obs_date < m.first_day group by 1, 2 having max(d.upto) >= 504)""", select="""
+    "walkforward_pooled_bounds": with_(*FEATURES, POOLED, select="""
 select f.series_id, f.obs_date, f.direction_7d as y_true, p.test_month, p.train_end, p.n_train, p.n_test, true as is_share
 from features f join pooled p on cast(date_trunc('month', f.obs_date) as date) = p.test_month"""),
+    "pooled_calibration": with_(*FEATURES, POOLED, """tested as (
+  select f.obs_date, f.direction_7d as y from features f join pooled p on cast(date_trunc('month', f.obs_date) as date) = p.test_month),
+tail as (select distinct obs_date from tested where obs_date < date '2001-01-01' order by obs_date desc limit 252)""", select="""
+select 'calibration' as part, count(*) as n_rows, cast(sum(y) as bigint) as positives, count(*) as shares, cast(sum(y) as double) as fitted
+from tested join tail using (obs_date) having count(*) > 0
+union all
+select 'later', count(*), cast(sum(y) as bigint), count(*), null from tested where obs_date >= date '2001-01-01' having count(*) > 0"""),
     "offsets_optimum": with_(*FEATURES, select="""
 select concat('series_id=', series_id) as term, count(*) as n_rows, true as settled from features group by 1
 union all select c.name, f.n, true from (select count(*) as n from features) f,

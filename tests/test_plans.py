@@ -16,7 +16,7 @@ EAGER = {
     "predictions_sink", "features_sink", "metrics_sink", "coerce_columns",
     "silver_versions", "changed_keys", "gold_versions", "observed_manifest", "run_manifest_document",
     "stream_quota_requests", "stream_subscriptions", "stream_verifications",
-    "walkforward_pooled", "walkforward_pooled_bounds", "fit_offsets", "offsets_optimum",
+    "pooled_calibration", "walkforward_pooled", "walkforward_pooled_bounds", "fit_offsets", "offsets_optimum",
 }
 
 
