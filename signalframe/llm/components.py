@@ -14,7 +14,8 @@ def components(links: DataFrame) -> DataFrame:
     A large star hangs every larger neighbour of a node on the smallest node beside it, a small star
     does so for the smaller ones; both keep the components and together reach one star each in a number
     of rounds that grows with the logarithm of the longest path. Minima are combined before their shuffle and
-    joined back, so a node with very many neighbours is never gathered in one task. Each round is cut off by a
+    joined back. The neighbours of one node meet in one task of that join, as narrow rows in a sort-merge, unless the minima are small enough
+    to be broadcast; SimHash links are forests per bucket, so a node has at most one link per other fingerprint near it. Each round is cut off by a
     reliable checkpoint; the driver sees a count and a checksum.
     """
     edges = durable(
