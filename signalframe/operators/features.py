@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from signalframe.functions import dates, names
 from signalframe.functions.numbers import finite, ratio
-from signalframe.operators.windows import by_series, full_only, in_chunks, trailing, with_full_median
+from signalframe.operators.windows import by_series, full_only, in_chunks, trailing, with_full_median, with_moving_median
 from signalframe.schemas import GOLD_COLUMNS, H7_FEATURES, H7_TARGETS, HORIZON, KEYS
 
 # Rows a feature looks back and a target looks ahead; what chunked or partial runs must borrow.
@@ -100,7 +100,7 @@ def gold_features(observations: DataFrame, chunk_rows: int | None = None) -> Dat
     return wide.select(*[c for c in GOLD_COLUMNS if c in wide.columns])
 
 
-def _h7(df: DataFrame, w: WindowSpec, eps: float, h: int) -> DataFrame:
+def _h7(df: DataFrame, w: WindowSpec, eps: float, h: int, moving_median: bool) -> DataFrame:
     value, ret = F.col("value"), F.col("ret_1d")
     given = ["daily_return"] if "daily_return" in df.columns else []
     ret_1d = F.col("daily_return") if given else ratio(value, F.col("prev_value")) - 1
@@ -126,7 +126,8 @@ def _h7(df: DataFrame, w: WindowSpec, eps: float, h: int) -> DataFrame:
         }
     )
     day = F.col("obs_date")
-    return with_full_median(scaled, "vol_21d", "vol_21_med_252", w, 252).withColumns(
+    with_median = with_moving_median if moving_median else with_full_median
+    return with_median(scaled, "vol_21d", "vol_21_med_252", w, 252).withColumns(
         {
             "is_high_vol": flag(vol_21 > F.col("vol_21_med_252")),
             "day_of_week": dates.weekday(day),
@@ -138,12 +139,18 @@ def _h7(df: DataFrame, w: WindowSpec, eps: float, h: int) -> DataFrame:
 
 
 def h7_features(
-    gold: DataFrame, eps: float = 0.0, drop_unlabelled: bool = True, chunk_rows: int | None = None
+    gold: DataFrame,
+    eps: float = 0.0,
+    drop_unlabelled: bool = True,
+    chunk_rows: int | None = None,
+    moving_median: bool = False,
 ) -> DataFrame:
     """21 numeric features and 2 targets per row, rows with any missing feature dropped.
 
     ``eps`` is added to volatilities (the research variant uses 1e-12). ``drop_unlabelled=False``
     keeps the newest rows, whose forward return is not known yet, so that they can be scored.
+    ``moving_median`` updates the 252-row frame instead of sorting it per row (same result): for whole large tables; it
+    starts Python workers and computes every feature, whichever are read.
     """
     missing = [c for c in ("obs_date", "series_id", "value", "prev_value") if c not in gold.columns]
     if missing:
@@ -151,7 +158,7 @@ def h7_features(
     keep = [c for c in ("obs_date", "series_id", "value", "prev_value", "daily_return") if c in gold.columns]
 
     def compute(df: DataFrame, w: WindowSpec) -> DataFrame:
-        return _h7(df, w, eps, HORIZON)
+        return _h7(df, w, eps, HORIZON, moving_median)
 
     base = gold.select(*keep)
     feats = in_chunks(base, compute, H7_BACK, H7_AHEAD, chunk_rows) if chunk_rows else compute(base, by_series())

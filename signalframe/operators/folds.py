@@ -303,3 +303,29 @@ def score_per_series(features: DataFrame, weights: DataFrame, columns: list[str]
         w = F.col("_w")[c]
         z = z + w["coef"] * (F.col(c) - w["mean"]) / w["spread"]
     return joined.withColumn("p_up", 1.0 / (1.0 + F.exp(-z))).drop("_w")
+
+
+def logistic_gradient(features: DataFrame, weights: DataFrame, columns: list[str], target: str = "direction_7d") -> DataFrame:
+    """series_id, term, n_rows, gradient of the penalised loss at ``fit_per_series`` weights; near zero where the fit has settled.
+
+    One aggregate over the scored rows, combined before its exchange. A series with labels of one kind has no finite
+    optimum: its fixed intercept leaves a gradient of up to ``n_rows`` times 1e-13.
+    """
+    error = F.col("p_up") - F.col(target)
+    scored = score_per_series(features, weights, columns).withColumn("_error", error)
+    sums = scored.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.sum("_error").alias("_total"),
+        *[F.sum(F.col(c) * F.col("_error")).alias(f"_{n}") for n, c in enumerate(columns)],
+    )
+    terms = F.array(
+        F.struct(F.lit("intercept").alias("term"), F.col("_total").alias("moment")),
+        *[F.struct(F.lit(c).alias("term"), F.col(f"_{n}").alias("moment")) for n, c in enumerate(columns)],
+    )
+    long = sums.select("series_id", "n_rows", "_total", F.inline(terms))
+    slope = (F.col("moment") - F.col("mean") * F.col("_total")) / F.col("spread") + F.col("coef")
+    return (
+        long.join(weights.drop("n_rows"), ["series_id", "term"])
+        .withColumn("gradient", F.when(F.col("term") == "intercept", F.col("moment")).otherwise(slope))
+        .select("series_id", "term", "n_rows", "gradient")
+    )

@@ -32,7 +32,7 @@ from signalframe.operators.windows import by_series, exact_rank, keep_latest
 from signalframe.plans import fixtures
 from signalframe.schemas import BASELINE_FEATURES, H7_FEATURES
 from signalframe.session import durable, scratch_path
-from signalframe.sources import landing, observed, tables, versions
+from signalframe.sources import bucketed, landing, observed, tables, versions
 from signalframe.sources import subscribers as subscriber_source
 from signalframe.streaming import subscriptions
 from signalframe.streaming.ordered import start_writing
@@ -200,6 +200,11 @@ def h7_features_chunked(spark, folder):
     return rounded(_features(spark, folder, chunk_rows=512))
 
 
+@query
+def h7_features_moving(spark, folder):
+    return rounded(_features(spark, folder, moving_median=True))
+
+
 @query
 def h7_features_research(spark, folder):
     return rounded(_features(spark, folder, eps=1e-12))
@@ -225,6 +230,44 @@ def contract_violations(spark, folder):
     return rounded(contracts.gold_violations(broken).select("series_id", "obs_date", "value", "prev_value", "kind"))
 
 
+@query
+def required_columns(spark, folder):
+    """For each column of the wide table: known values, and whether the table is refused without it or renamed."""
+    gold = _gold(spark, folder).select(*GOLD_VALUES)
+
+    def refused(df: DataFrame, exact: bool) -> bool:
+        try:
+            contracts.require_columns(df, ["obs_date", "series_id", "value", "prev_value"] if not exact else GOLD_VALUES, exact)
+        except contracts.ContractError:
+            return True
+        return False
+
+    known = gold.agg(*[F.count(c).alias(c) for c in GOLD_VALUES])
+    checks = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.col(c).alias("known"),
+            F.lit(refused(gold.drop(c), False)).alias("refused_without"),
+            F.lit(refused(gold.withColumn(f"{c}_again", F.col(c)), True)).alias("refused_with_another"),
+            F.lit(refused(gold, True)).alias("refused"),
+        )
+        for c in GOLD_VALUES
+    ]
+    return known.select(F.inline(F.array(*checks)))
+
+
+@query
+def selected_features(spark, folder):
+    """Rows and sum of each numeric feature that may be trained on, by the spec of all of them."""
+    rows = _features(spark, folder)
+    chosen = contracts.select_features(rows, contracts.numeric_features(rows))
+    sums = chosen.agg(F.count(F.lit(1)).alias("n_rows"), *[F.sum(c).cast("double").alias(c) for c in chosen.columns])
+    return sums.select(
+        F.posexplode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(c, 4).alias("total")) for c in chosen.columns])).alias("position", "f"),
+        "n_rows",
+    ).select("position", "f.*", "n_rows")
+
+
 @query
 def null_rates(spark, folder):
     columns = [c for c in GOLD_VALUES if c not in ("series_id", "obs_date", "target_direction_1d")]
@@ -324,6 +367,34 @@ def predictions_wide(spark, folder):
     return logreg.join(tree, keys).join(flags, keys, "left")
 
 
+def _bucketed(spark, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Written with equally many buckets and read back, in a session that makes use of them."""
+    session = bucketed.co_partitioned_session(spark)
+    found = {}
+    for name, df in frames.items():
+        path = scratch_path(spark, name)
+        found[name] = bucketed.read_bucketed(session, path, bucketed.write_bucketed(df, path), df.schema)
+    return found
+
+
+@query
+def h7_features_bucketed(spark, folder):
+    """Features of a wide table that lies in buckets: no exchange."""
+    gold = _bucketed(spark, {"gold": _gold(spark, folder)})["gold"]
+    return rounded(features.h7_features(gold))
+
+
+@query
+def predictions_wide_bucketed(spark, folder):
+    """The joins of ``predictions_wide`` on tables in buckets: no exchange."""
+    keys = ["series_id", "obs_date"]
+    kept = _bucketed(spark, {"predictions": fixtures.predictions(spark, folder), "gold": _gold(spark, folder)})
+    preds = kept["predictions"]
+    logreg, tree = preds.select(*keys, "y_true", "p_up_logreg"), preds.select(*keys, "p_up_tree")
+    flags = features.h7_features(kept["gold"]).select(*keys, "is_high_vol", "is_month_end", "day_of_week", "month")
+    return logreg.join(tree, keys).join(flags, keys, "left")
+
+
 @query
 def baseline_probs(spark, folder):
     return rounded(baselines.baseline_probabilities(_gold(spark, folder)))
@@ -543,6 +614,32 @@ def landing_audit(spark, folder):
     )
 
 
+@query
+def stored_audit(spark, folder):
+    """Landed files as stored: how many, with how many different hashes, and whether their sidecars hold their content's hash."""
+    root = scratch_path(spark, "landing")
+    landing.write_landing(landing.build_payloads(_landed(spark, folder)), root)
+    files = landing.audit_files(spark, root, landing.WRITTEN_PAYLOADS)
+    parts = {k: landing.path_part(F.col("path"), k) for k in ("series", "ingest_date")}
+    stored = files.select(parts["series"].alias("series_id"), parts["ingest_date"].alias("ingest_date"), "path", "sha256", "stored_bytes")
+    content = landing.read_payloads(spark, root, landing.WRITTEN_PAYLOADS).select(
+        F.col("raw_path").alias("path"), landing.digest(F.col("payload").cast("binary")).alias("content_sha256")
+    )
+    said = (
+        spark.read.option("basePath", root).option("pathGlobFilter", landing.WRITTEN_SIDECARS).json(root)
+        .select("series_id", F.col("ingest_date").cast("string").alias("ingest_date"), "sha256_raw", "observations_count")
+    )
+    name = F.regexp_replace("path", "^file:/+", "/")
+    together = stored.withColumn("path", name).join(content.withColumn("path", name), "path").join(said, ["series_id", "ingest_date"])
+    return together.groupBy("series_id", "ingest_date").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.count_distinct("sha256").alias("hashes"),
+        F.sum("observations_count").alias("observations_count"),
+        F.bool_and(F.col("content_sha256") == F.col("sha256_raw")).alias("as_sidecar_says"),
+        F.bool_and(F.col("stored_bytes") > 0).alias("stored"),
+    )
+
+
 @query
 def payload_audit(spark, folder):
     payloads = landing.build_payloads(_landed(spark, folder))
@@ -1095,6 +1192,15 @@ def fit_per_series_sizes(spark, folder):
     return weights.groupBy("series_id").agg(F.count(F.lit(1)).alias("terms"), F.max("n_rows").cast("long").alias("n_rows"))
 
 
+@query
+def per_series_optimum(spark, folder):
+    """Whether the fit of each series is where its gradient vanishes, by sums that Spark takes over the scored rows."""
+    rows = durable(_features(spark, folder))
+    weights = durable(folds.fit_per_series(rows, H7_FEATURES, scale=True))
+    found = folds.logistic_gradient(rows, weights, H7_FEATURES)
+    return found.select("series_id", "term", "n_rows", (F.abs("gradient") < 1e-6).alias("settled"))
+
+
 @query
 def score_global_actions(spark, folder):
     """Every labelled row is scored, and its action follows from its probability."""

@@ -690,6 +690,26 @@ from features f join bounds b on f.series_id = b.series_id and date_trunc('month
 select series_id, 22 as terms, count(*) as n_rows from features group by 1"""),
     "score_global_actions": with_(*FEATURES, select="select series_id, obs_date, true as is_share, true as follows from features"),
 }
+ORACLES |= {
+    "h7_features_moving": ORACLES["h7_features"],
+    "h7_features_bucketed": ORACLES["h7_features"],
+    "predictions_wide_bucketed": ORACLES["predictions_wide"],
+    "stored_audit": with_(OBSERVATIONS, select="""
+select series_id, concat(cast(year(obs_date) as varchar), '-12-31') as ingest_date, cast(1 as bigint) as files, cast(1 as bigint) as hashes,
+       count(*) as observations_count, true as as_sidecar_says, true as stored
+from observations group by series_id, year(obs_date)"""),
+    "required_columns": with_(*GOLD, select="""
+select "column", known, "column" in ('obs_date', 'series_id', 'value', 'prev_value') as refused_without,
+       true as refused_with_another, false as refused
+from (unpivot (select """ + ", ".join(f"count({c}) as {c}" for c in ["series_id", "obs_date", "target_direction_1d", *GOLD_DOUBLES]) + """ from gold)
+      on columns(*) into name "column" value known)"""),
+    "selected_features": with_(*FEATURES, select=" union all ".join(f"""
+select {n} as position, '{c}' as feature, round(cast(sum({c}) as double), 4) + 0e0 as total, count(*) as n_rows from features"""
+    for n, c in enumerate(sorted(H7_FEATURES)))),
+    "per_series_optimum": with_(*FEATURES, select="""
+select series_id, unnest(['intercept', '""" + "', '".join(H7_FEATURES) + """']) as term, n_rows, true as settled
+from (select series_id, count(*) as n_rows from features group by 1)"""),
+}
 # The streams end where the batch queries do.
 for _stream, _batch in (("stream_quota_requests", "quota_windows"), ("stream_subscriptions", "subscription_state"), ("stream_verifications", "subscription_verify")):
     ORACLES[_stream] = ORACLES[_batch]

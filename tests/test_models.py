@@ -289,3 +289,13 @@ def test_real_features_feed_the_models(spark):
     scored = models.score_global(models.train_global(feats), features.h7_features(gold, drop_unlabelled=False))
     assert scored.count() == feats.count() + 14
     assert set(H7_FEATURES) <= set(feats.columns)
+
+
+def test_gradient_tells_a_settled_fit_from_another(spark, walk):
+    feats = features.h7_features(features.gold_features(spark.createDataFrame(random_walks(420, ("FXUSDCAD", "FXEURCAD")))))
+    columns = ["ret_1d", "vol_21d", "mom_5d"]
+    weights = folds.fit_per_series(feats, columns, scale=True)
+    settled = folds.logistic_gradient(feats, weights, columns).collect()
+    assert len(settled) == 8 and max(abs(r["gradient"]) for r in settled) < 1e-6
+    moved = weights.withColumn("coef", F.col("coef") + F.when(F.col("term") == "mom_5d", 0.01).otherwise(0.0))
+    assert max(abs(r["gradient"]) for r in folds.logistic_gradient(feats, moved, columns).collect()) > 1e-3

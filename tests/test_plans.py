@@ -17,6 +17,7 @@ EAGER = {
     "silver_versions", "changed_keys", "gold_versions", "observed_manifest", "run_manifest_document",
     "stream_quota_requests", "stream_subscriptions", "stream_verifications",
     "pooled_calibration", "walkforward_pooled", "walkforward_pooled_bounds", "fit_offsets", "offsets_optimum",
+    "stored_audit", "h7_features_bucketed", "predictions_wide_bucketed", "per_series_optimum",
 }
 
 
@@ -62,3 +63,14 @@ def test_no_python_outside_the_fits(plans):
     for name, text in plans.items():
         fits = name.startswith(("walkforward_", "fit_", "score_", "permutation_")) and name != "walkforward_folds"
         assert ("InPandas" in text or "ArrowEval" in text) == fits, name
+
+
+@pytest.mark.parametrize("name", ["h7_features_bucketed", "predictions_wide_bucketed"])
+def test_tables_in_buckets_need_no_exchange(spark, name):
+    text = plan(QUERIES[name](spark, SF))
+    assert "Exchange" not in text and "Sort [" not in text and "Bucketed: true" in text
+
+
+def test_moving_medians_add_no_exchange(plans):
+    text = plans["h7_features_moving"]
+    assert text.count("Exchange hashpartitioning") == 2 and text.count("Sort [") == 1 and "sort_array(" not in text

@@ -94,3 +94,31 @@ def test_chunks_must_cover_their_halo(spark, walk):
 def test_last_rows(spark, walk):
     found = windows.last_rows(spark.createDataFrame(walk), 3).groupBy("series_id").agg(F.min("obs_date"), F.count("*"))
     assert {r[2] for r in found.collect()} == {3}
+
+
+@pytest.mark.parametrize("rows", [1, 4, 5])
+def test_moving_median(spark, rows):
+    """Ties, nulls, NaN, infinities, a long and a short series, several batches."""
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.0, -0.0, 1.0, 1.0, 2.0]
+    values = [(s, d, odd[(d * d + len(s)) % 9] if d % 3 else float(d * 37 % 11)) for s, n in (("a", 400), ("bb", 3), ("ccc", 90)) for d in range(n)]
+    df = spark.createDataFrame(values, "series_id string, obs_date int, v double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        found = windows.with_moving_median(df, "v", "m", windows.by_series(), rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = windows.with_full_median(df, "v", "m", windows.by_series(), rows).collect()
+    assert sorted(map(repr, (r["series_id"] + f"{r['obs_date']:04d}" + str(r["m"]).replace("-0.0", "0.0") for r in found))) == sorted(
+        map(repr, (r["series_id"] + f"{r['obs_date']:04d}" + str(r["m"]).replace("-0.0", "0.0") for r in want))
+    )
+
+
+def test_moving_median_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "series_id string, obs_date int, v double, m2 string")
+    assert windows.with_moving_median(df, "v", "m", windows.by_series(), 5).collect() == []
+
+
+def test_moving_median_in_chunks(spark, walk):
+    gold = features.gold_features(spark.createDataFrame(walk))
+    plain = features.h7_features(gold).orderBy("series_id", "obs_date").collect()
+    assert features.h7_features(gold, chunk_rows=290, moving_median=True).orderBy("series_id", "obs_date").collect() == plain
