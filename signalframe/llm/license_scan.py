@@ -1,9 +1,10 @@
 """License scans by conditional compression.
 
-Blocks around license words are compressed alone and once more with each template as a raw zstandard dictionary. The
-template that saves the largest share of the block is the first candidate, the others come next. A candidate
-wins when the exact wording differences between its words and the block's are few, and none is in a word that
-tells licenses apart (names, version numbers). Row by row, without a shuffle.
+Blocks around license words are compressed alone and once more with each template as a raw zstandard dictionary. The bytes
+that this takes off a block rank the pairs of block and template, and the pairs are walked in that order, the largest reduction
+first. The first whose wording is confirmed wins and ends the walk: the exact differences between the template's words and the
+block's are few, none is in a word that tells licenses apart (names, version numbers), and the license word is covered.
+Templates that save nothing are not walked. Row by row, without a shuffle.
 """
 
 from __future__ import annotations
@@ -102,6 +103,10 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to this work to the public domain worldwide."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+# Ids of further licenses that SPDX lines name often.
+OTHER_IDS = """0BSD AFL-3.0 Artistic-2.0 BSD-4-Clause BSL-1.0 CC-BY-3.0 CC-BY-ND-4.0 CC-BY-SA-3.0 CDDL-1.0 CECILL-2.1 ECL-2.0 EPL-1.0
+EPL-2.0 EUPL-1.2 GFDL-1.3 GPL-1.0 LGPL-2.0 MIT-0 MS-PL MS-RL MPL-1.1 NCSA ODbL-1.0 OFL-1.1 OSL-3.0 PostgreSQL PSF-2.0 Python-2.0 Ruby
+Unicode-DFS-2016 Unlicense UPL-1.0 Vim W3C WTFPL X11 Zlib ZPL-2.1""".split()
 #: Words that tell licenses apart; a difference in one of them, or in a word with a digit, rules a template out.
 TELLING = set("apache mit isc gnu general lesser affero public bsd clause mozilla mpl creative commons cc by nc sa nd attribution noncommercial sharealike cc0 gpl lgpl agpl not no except".split())
 #: A winner differs in at most this share of its template's words (one word at least).
@@ -134,13 +139,21 @@ def words_of(text: str, begin: int, end: int) -> tuple[list[tuple[int, int]], li
     return spans, words
 
 
-def spdx_line(text: str, line: re.Match[str]) -> list[tuple[str, int, int, float, list[str]]]:
-    """The licenses of an SPDX line; the first one's place begins with the line."""
-    raw = line[0].lower().encode()
-    own = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False)
-    saved = 1 - len(own.compress(raw)) / len(alone().compress(raw))
-    ids = [m for m in _spdx_id.finditer(text, line.start() + len("SPDX-License-Identifier"), line.end())]
-    return [(m[1], line.start() if n == 0 else m.start(1), m.end(1), saved, []) for n, m in enumerate(ids)]
+@cache
+def known_ids() -> dict[str, str]:
+    """SPDX ids that a line may name, by lower case: those of the templates, of the GNU family with its suffixes, and OTHER_IDS."""
+    ids = {spdx for spdx, _ in TEMPLATES if spdx != "all-rights-reserved"} | set(OTHER_IDS)
+    gnu = [i for i in ids if re.match(r"(?:L|A)?GPL-|GFDL-", i)]
+    return {i.lower(): i for i in [*ids, *(f"{g}{end}" for g in gnu for end in ("-only", "-or-later", "+"))]}
+
+
+def spdx_line(text: str, line: re.Match[str]) -> list[tuple[str, int, int, float | None, list[str], int]]:
+    """The licenses of an SPDX line; the first one's place begins with the line. An id that isn't known is ``unknown``, with the id as difference."""
+    found = []
+    for n, m in enumerate(_spdx_id.finditer(text, line.start() + len("SPDX-License-Identifier"), line.end())):
+        known = known_ids().get(m[1].lower())
+        found.append((known or "unknown", line.start() if n == 0 else m.start(1), m.end(1), None, [] if known else ["+" + m[1]], 0))
+    return found
 
 
 @cache
@@ -211,9 +224,25 @@ def difference(ours: list[str], theirs: list[str]) -> tuple[int, int, list[str]]
     return first, end, diff
 
 
-def scan_text(text: str) -> list[tuple[str, int, int, float, list[str]]]:
-    """Confirmed licenses of a text in order: SPDX id, begin, end, share saved, wording differences."""
-    found: list[tuple[str, int, int, float, list[str]]] = []
+def confirmed(words: list[str], spans: list[tuple[int, int]], template: int, cue: int) -> tuple[int, int, list[str]] | None:
+    """Begin, end and wording differences of a template in a block's words; None where they differ too much or pass by the license word."""
+    telling, every, most = needed()[template]
+    present = set(words)
+    if not telling <= present or len(every - present) > most:
+        return None  # the comparison would say the same
+    first, last, diff = difference(words, templates()[template][2])
+    # What doesn't cover the license word has one of its own; it must not hide a notice before it.
+    if len(diff) > most or any(tells(d[1:]) for d in diff) or not spans[first][0] <= cue < spans[last - 1][1]:
+        return None
+    return spans[first][0], spans[last - 1][1], diff
+
+
+def walk_text(text: str) -> list[tuple[str, int, int, float | None, list[str], int]]:
+    """Licenses of a text in order: SPDX id, begin, end, share saved, wording differences, place of the winner in the walk.
+
+    SPDX lines name their licenses: nothing is saved (null) and no walk is made (place 0).
+    """
+    found: list[tuple[str, int, int, float | None, list[str], int]] = []
     if not any(h in text for h in _hints):
         return found
     done = 0
@@ -225,34 +254,35 @@ def scan_text(text: str) -> list[tuple[str, int, int, float, list[str]]]:
             found += spdx_line(text, line)
             done = line.end()
             continue
-        best = None
-        for begin, end in candidate_blocks(text, cue.start()):
-            begin = max(begin, done)
-            block = text[begin:end]
-            spans, words = words_of(text, begin, end)
-            data = block.lower().encode()
+        ranked, blocks = [], []
+        for begin, end in dict.fromkeys((max(b, done), e) for b, e in candidate_blocks(text, cue.start())):
+            data = text[begin:end].lower().encode()
             size = len(alone().compress(data))
-            ranked = sorted(((1 - len(t[3].compress(data)) / size, -n) for n, t in enumerate(templates())), reverse=True)
-            present = set(words)
-            for saved, n in ranked:
-                telling, every, most = needed()[-n]
-                if not telling <= present or len(every - present) > most:
-                    continue  # the comparison would say the same
-                spdx, _, theirs, _ = templates()[-n]
-                first, last, diff = difference(words, theirs)
-                gain = len(theirs) - 3 * len(diff)
-                # What doesn't cover the license word has one of its own; it must not hide a notice before it.
-                if len(diff) <= most and not any(tells(d[1:]) for d in diff) and (best is None or gain > best[0]) and spans[first][0] <= cue.start() < spans[last - 1][1]:
-                    best = gain, (spdx, spans[first][0], spans[last - 1][1], saved, diff)
-        if best:
-            found.append(best[1])
-            done = best[1][2]
+            for n, t in enumerate(templates()):
+                reduced = size - len(t[3].compress(data))
+                if reduced > 0:
+                    # Of equal reductions the larger share comes first, then the shorter template.
+                    ranked.append((reduced, reduced / size, -len(t[2]), -n, -len(blocks)))
+            blocks.append(words_of(text, begin, end))
+        for place, (_, share, _, n, b) in enumerate(sorted(ranked, reverse=True), 1):
+            spans, words = blocks[-b]
+            won = confirmed(words, spans, -n, cue.start())
+            if won:
+                found.append((templates()[-n][0], won[0], won[1], share, won[2], place))
+                done = won[1]
+                break
     return found
 
 
+def scan_text(text: str) -> list[tuple[str, int, int, float | None, list[str]]]:
+    """``walk_text`` without the places."""
+    return [f[:5] for f in walk_text(text)]
+
+
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per confirmed license: doc_id, license, begin, end (code points), saved, n_different, differences.
+    """One row per confirmed license: doc_id, license, begin, end (code points), saved, n_different, differences, place.
 
+    ``saved`` is the share that the winner takes off its block, ``place`` tells how many pairs were walked up to it; an SPDX line has null and 0.
     Null and empty texts and texts without license words give no row; a license that a text repeats gives a row each
     time; repeated rows give repeated results; a null id stays null. Other columns are not read.
     """
@@ -264,16 +294,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             at, rows = [], []
             for i, t in enumerate(batch.column(1)):
                 text = t.as_py() or ""
-                for spdx, begin, end, saved, diff in scan_text(text):
+                for spdx, begin, end, saved, diff, place in walk_text(text):
                     at.append(i)
-                    rows.append((spdx, begin, end, round(saved, 6), len(diff), " ".join(diff)))
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string())
+                    rows.append((spdx, begin, end, None if saved is None else round(saved, 6), len(diff), " ".join(diff), place))
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.int64())
             columns = [pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)]
-            names = ["doc_id", "license", "begin", "end", "saved", "n_different", "differences"]
+            names = ["doc_id", "license", "begin", "end", "saved", "n_different", "differences", "place"]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int32())), *columns], names=names)
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, license string, begin long, end long, saved double, n_different long, differences string")
+    return rows.mapInArrow(run, f"doc_id {kind}, license string, begin long, end long, saved double, n_different long, differences string, place long")
 
 
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:

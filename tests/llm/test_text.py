@@ -371,3 +371,74 @@ def test_licenses_of_the_documents(spark, odd):
     wanted = sorted((r.doc_id, m.end()) for r in documents(spark).collect() for m in re.finditer(pattern, r.text))
     assert sorted((r.doc_id, r.end) for r in op8_license_scan(spark, SF).collect()) == wanted
     assert scan_licenses(odd).count() == 0
+
+
+def odd_turns(spark):
+    """Null roles and texts, empty and very long turns, repeated rows, clashing extra columns, more turns than a block holds."""
+    convs = {
+        1: [("user", "x" * 50_000), ("assistant", "\\ ### </turn> : " * 900), ("user", ""), ("assistant", "")],
+        2: [("user", "x" * 50_000), ("assistant", "\\ ### </turn> : " * 900), ("user", "é漢😀" * 700)],
+        3: [(None, None), ("assistant", None), ("assistant", "a:b\\")],
+        4: [("user", "same"), ("assistant", "turn")] * 200,
+    }
+    rows = [(c, n, r, t) for c, ts in convs.items() for n, (r, t) in enumerate(ts)] + [(5, 0, "user", "twice"), (5, 0, "user", "twice"), (5, None, "assistant", "early")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    told = {c: [(r or "", t or "") for r, t in ts] for c, ts in convs.items()} | {5: [("assistant", "early"), ("user", "twice"), ("user", "twice")]}
+    return df.withColumns({c: F.lit(1) for c in ("node", "tree", "block", "begin", "end", "_from", "_to", "pieces", "rank", "attended")}), told
+
+
+def test_conversations_are_read_from_places_and_mask(spark):
+    df, told = odd_turns(spark)
+    nodes, visits = chat_tree.prefix_tree(df)
+    found = {r.conv_id: r for r in chat_tree.read_back(nodes, visits).collect()}
+    assert set(found) == set(told)
+    for c, turns in told.items():
+        whole = "".join(chat_tree.format_turn(r, t) for r, t in turns)
+        assert found[c].formatted == whole and found[c].in_order and found[c].last_position == len(whole) - 1
+        assert found[c].attended == len(whole) - len(chat_tree.format_turn(*turns[-1]))
+        assert re.sub(r"\\(\\|###|</turn>)", r"\1", found[c].loss_text) == "".join(t for r, t in turns if r == "assistant")
+
+
+def test_wrong_places_positions_or_masks_change_rows(spark):
+    df, told = odd_turns(spark)
+    nodes, visits = chat_tree.prefix_tree(df.filter("conv_id in (3, 5)"))
+    whole = {c: "".join(chat_tree.format_turn(r, t) for r, t in told[c]) for c in (3, 5)}
+    moved = chat_tree.read_back(nodes.withColumn("begin", F.when(F.col("depth") == 1, F.col("begin") + 1).otherwise(F.col("begin"))), visits)
+    assert all(r.formatted != whole[r.conv_id] for r in moved.collect())
+    late = chat_tree.read_back(nodes.withColumn("position", F.when(F.col("depth") == 1, F.col("position") + 1).otherwise(F.col("position"))), visits)
+    assert not any(r.in_order for r in late.collect())
+    bare = chat_tree.read_back(nodes.withColumn("loss_to", F.col("loss_from")), visits)
+    assert {r.loss_text for r in bare.collect()} == {""}
+
+
+def test_the_size_reduction_decides(monkeypatch):
+    text = "foo bar.\nReleased under the MIT License.\nqux"
+    (found,) = license_scan.walk_text(text)
+    assert found[0] == "MIT" and 0 < found[3] < 1 and found[5] >= 1
+    # Both templates stand in the text word for word; the one that saves more bytes is walked first.
+    twice = "Permission is hereby granted by the license of the club, version 7, to all its members and their friends."
+    for order in (1, -1):
+        monkeypatch.setattr(license_scan, "TEMPLATES", [("short", "the license of the club, version 7"), ("long", twice)][::order])
+        for cached in (license_scan.templates, license_scan.needed, license_scan.reach):
+            cached.cache_clear()
+        assert [f[0] for f in scan_text(f"x y z.\n{twice}\nend")] == ["long"]
+        # Templates that save nothing are not walked, however well their words fit.
+        monkeypatch.setattr(license_scan, "alone", lambda: type("None", (), {"compress": staticmethod(lambda data: b"")}))
+        assert scan_text(f"x y z.\n{twice}\nend") == []
+        monkeypatch.undo()
+    for cached in (license_scan.templates, license_scan.needed, license_scan.reach):
+        cached.cache_clear()
+
+
+def test_spdx_ids_are_looked_up():
+    text = "SPDX-License-Identifier: mit OR NoSuchLicense-9.9 OR LGPL-2.1-or-later"
+    assert [(f[0], f[3], f[4]) for f in scan_text(text)] == [("MIT", None, []), ("unknown", None, ["+NoSuchLicense-9.9"]), ("LGPL-2.1-or-later", None, [])]
+
+
+def test_licenses_in_odd_rows(spark):
+    mit = dict(license_scan.TEMPLATES[4:5])["MIT"]
+    texts = [(1, mit), (1, mit), (2, None), (3, ""), (None, f"{'word ' * 60_000}\n{mit}\n{'word ' * 60_000}"), (4, mit + "\n" + mit), (5, "All rights reserved. " * 3)]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("license", "begin", "place", "saved")})
+    found = sorted((str(r.doc_id), r.license, r.end - r.begin) for r in scan_licenses(df.repartition(3)).collect())
+    long = len(mit) - 1  # without the last full stop
+    assert found == sorted([*[(d, "MIT", long) for d in ("1", "1", "4", "4", "None")], *[("5", "all-rights-reserved", 19)] * 3])
