@@ -52,18 +52,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     runs = durable(runs)
 
-    # At most one row per range from here to the join: its first and last text, and its first and last run.
+    # At most one row per range from here to the join: the digests of its first and last text, and its first and last run.
+    digest = lambda text: F.max(F.when(F.col(text).isNotNull(), F.struct("_sha", F.octet_length(text).alias("_long"))))
     edges = runs.groupBy("_p").agg(
         F.max("_run").alias("_runs"),
-        F.max("_head").alias("_head"),
-        F.max("_tail").alias("_tail"),
+        digest("_head").alias("_first_of"),
+        digest("_tail").alias("_last_of"),
         F.min_by("_size", "_run").alias("_size_1"),
         F.max_by("_size", "_run").alias("_size_n"),
         F.max_by("_keep", "_run").alias("_keep_n"),
     )
     by_range = Window.orderBy("_p")
     before = by_range.rowsBetween(Window.unboundedPreceding, -1)
-    edges = edges.withColumn("_on", F.coalesce(F.col("_head") == F.lag("_tail").over(by_range), F.lit(False)))
+    edges = edges.withColumn("_q", F.when(F.col("_first_of") == F.lag("_last_of").over(by_range), F.lag("_p").over(by_range)))
+    # Texts are fetched for neighbours whose digests agree only, each pair to a task of its own, and compared in full.
+    agree = edges.filter("_q is not null").select("_p", "_q")
+    heads = runs.filter("_head is not null").select("_p", "_head")
+    tails = runs.filter("_tail is not null").select(F.col("_p").alias("_q"), "_tail")
+    same = agree.join(heads, "_p").join(tails, "_q").select("_p", (F.col("_head") == F.col("_tail")).alias("_same"))
+    edges = durable(edges.drop("_q", "_first_of", "_last_of").join(same, "_p", "left").withColumn("_on", F.coalesce("_same", F.lit(False))))
     begins = (F.col("_runs") > 1) | ~F.col("_on")  # the range's last run begins in it
     edges = edges.withColumn("_origin", F.last(F.when(begins, F.col("_p")), ignorenulls=True).over(before))
     parts = edges.filter(begins).select(F.col("_p").alias("_o"), F.col("_size_n").alias("_s"), "_keep_n").unionByName(
