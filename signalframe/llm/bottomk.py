@@ -82,7 +82,10 @@ def as_text(sketch: Column) -> Column:
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, shingle: int = SHINGLE) -> DataFrame:
-    """Fingerprints of every row's text and of its edited text, and their likeness.
+    """Fingerprints of every row's text and of its edited text, their likeness, and what follows from the sketches alone.
+
+    n_shingles: estimated different shingles of the text; in_edited: the share of them estimated to be in the edited text;
+    n_with_next: estimated different shingles of the text and the next document together, from their merged sketch.
 
     The edited text has the last quarter of its code points (rounded down) replaced by as many from the start of the
     next document, or all that it has; documents follow each other by id, then text hash, and the first comes after the
@@ -120,6 +123,9 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         as_text(F.col("_new")).alias("edited_fingerprint"),
         resemblance(F.col("_own"), F.col("_new"), k).alias("near_edited"),
         resemblance(F.col("_own"), F.col("_next"), k).alias("near_next"),
+        distinct_shingles(F.col("_own"), k).alias("n_shingles"),
+        containment(F.col("_own"), F.col("_new"), k).alias("in_edited"),
+        distinct_shingles(merged(F.col("_own"), F.col("_next"), k), k).alias("n_with_next"),
     )
 
 

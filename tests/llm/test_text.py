@@ -156,6 +156,17 @@ def likeness(a, b, k=bottomk.K):
     return len(set(both) & set(a) & set(b)) / len(both) if both else 1.0
 
 
+def estimates(own, new, nxt, k=bottomk.K):
+    def count(sketch):
+        return float(len(sketch)) if len(sketch) < k else (k - 1) / ((float(sketch[k - 1]) + 2.0**63) / 2.0**64)
+
+    def union(a, b):
+        return sorted({*a, *b})[:k]
+
+    inside = min(1.0, likeness(own, new) * count(union(own, new)) / count(own)) if own else 1.0
+    return count(own), inside, count(union(own, nxt))
+
+
 def as_hex(sketch):
     return "".join(f"{v % (1 << 64):016x}" for v in sketch)
 
@@ -172,7 +183,7 @@ def test_fingerprints(spark, odd, which):
         cut = len(text) // 4
         edited = text[: len(text) - cut] + after[:cut]
         own, new, nxt = (brute_sketch(t)[0] for t in (text, edited, after))
-        wanted[i, text] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), as_hex(own), as_hex(new), likeness(own, new), likeness(own, nxt))
+        wanted[i, text] = (len(text), hashlib.sha256(edited.encode()).hexdigest(), as_hex(own), as_hex(new), likeness(own, new), likeness(own, nxt), *estimates(own, new, nxt))
     found = sorted((str(r.doc_id), *tuple(r)[1:]) for r in bottomk.edited_fingerprints(docs).collect())
     assert found == sorted((str(i), *wanted[i if i is not None else (1 << 63) - 1, t or ""]) for i, t in rows)
 
