@@ -128,6 +128,20 @@ def test_calls_do_not_grow_with_the_keys():
     assert calls(600) <= calls(30) + 2
 
 
+def test_calls_do_not_grow_with_the_tokens():
+    """Tokens that expire and are verified: one machine state per key, kept to the end."""
+
+    def calls(keys):
+        pool = Pool(SubscriptionChanges())
+        pool.send([(k, 0, 1_000_000, 2 * k, body("upsert", token=str(k), expires=9_000_000 * (k % 2) + 1_500_000)) for k in range(keys)], 0)
+        pool.send([(k, 0, 2_000_000, 2 * k + 1, body("verify", token=str(k))) for k in range(keys)], 0)
+        pool.send([], 20_000_000)
+        assert len(pool.out) == 2 * keys and len(pool.store.held["states"][0]) == keys and not pool.store.timers
+        return pool.store.calls
+
+    assert calls(600) == calls(30)
+
+
 def test_a_row_is_answered_when_the_watermark_passes_it():
     pool = Pool(RequestPlaces(3600))
     pool.send([(1, 0, 5_000_000, 2, ""), (2, 0, 9_000_000, 3, "")], 0)
